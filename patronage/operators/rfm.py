@@ -10,6 +10,7 @@ from .kmeans1d import Problem, fit, fit_mllib
 MEASURES = ("Recency", "Frequency", "Monetary")
 CLUSTERS = ("Recency cluster", "Frequency cluster", "Monetary cluster")
 SCORE, SEGMENT = "RFM Overall Score", "RFM Segment"
+REVENUE = "Total Revenue"
 # Segment names from the lowest score to the highest.
 LOW, MID, HIGH = "Low Value", "Mid Value", "High Value"
 
@@ -24,18 +25,17 @@ def customers(measures: DataFrame) -> DataFrame:
         .agg(
             F.max("last_date").alias("MaxPurchaseDate"),
             F.sum("n_dates").alias("purchases"),
-            total("sale").alias("Total Revenue"),
+            total("sale").alias(REVENUE),
         )
     )
 
 
-def rfm(measures: DataFrame, per_customer: DataFrame | None = None) -> DataFrame:
+def rfm(measures: DataFrame, with_revenue: bool = False) -> DataFrame:
     """Recency in days, frequency and revenue, each over the number of months.
 
     The number of months and the latest date are one scalar subquery; months of
     purchases without a customer count, their dates do not.
     """
-    per_customer = customers(measures) if per_customer is None else per_customer
     span = measures.agg(
         F.struct(
             F.count_distinct("ym").alias("months"),
@@ -44,12 +44,13 @@ def rfm(measures: DataFrame, per_customer: DataFrame | None = None) -> DataFrame
     ).scalar()
     months = span["months"]
     days = F.timestamp_diff("DAY", F.col("MaxPurchaseDate"), span["latest"])
-    return per_customer.select(
+    return customers(measures).select(
         "customer",
         "MaxPurchaseDate",
         F.try_divide(days, months).alias("Recency"),
         F.try_divide(F.col("purchases"), months).alias("Frequency"),
-        F.try_divide(F.col("Total Revenue"), months).alias("Monetary"),
+        F.try_divide(F.col(REVENUE), months).alias("Monetary"),
+        *([REVENUE] if with_revenue else []),
     )
 
 
