@@ -39,23 +39,26 @@ def spark_pattern(strptime_format: str) -> str:
     """
     tokens = re.findall(r"%.|[^%]|%$", strptime_format, flags=re.DOTALL)
     directive = [t[0] == "%" and t != "%%" for t in tokens]
-    out = []
+    out, text = [], ""
     for i, token in enumerate(tokens):
-        if directive[i]:
-            if token not in STRPTIME_TO_SPARK:
-                raise ValueError(f"unsupported date directive {token!r}")
-            pattern = STRPTIME_TO_SPARK[token]
-            touches = any(directive[max(i - 1, 0) : i]) or any(directive[i + 1 : i + 2])
-            out.append(pattern * 2 if touches and pattern in TWO_DIGIT_FIELDS else pattern)
-        elif token == "%%":
-            out.append("'%'")
-        elif token == "'":
-            out.append("''")
-        elif token.isalpha() or token in "[]{}#":
-            out.append(f"'{token}'")
-        else:
-            out.append(token)
-    return "".join(out)
+        if not directive[i]:
+            text += token[-1]
+            continue
+        if token not in STRPTIME_TO_SPARK:
+            raise ValueError(f"unsupported date directive {token!r}")
+        out.append(_literal(text))
+        text = ""
+        pattern = STRPTIME_TO_SPARK[token]
+        touches = any(directive[max(i - 1, 0) : i]) or any(directive[i + 1 : i + 2])
+        out.append(pattern * 2 if touches and pattern in TWO_DIGIT_FIELDS else pattern)
+    return "".join([*out, _literal(text)])
+
+
+def _literal(text: str) -> str:
+    """Text as it stands; letters and signs that patterns give a meaning are quoted."""
+    if re.search(r"[A-Za-z\[\]{}#'%]", text) is None:
+        return text
+    return "'" + text.replace("'", "''") + "'"
 
 
 def pivot_two_digit_year(date: Column) -> Column:

@@ -59,7 +59,9 @@ class Shape:
 
 def _logistic_regression(p, shape):
     # An inverse penalty C on the summed loss is 1 / (C * rows) on the mean loss.
-    return LogisticRegression(regParam=1 / (p["C"] * shape.rows), standardization=False, maxIter=100)
+    return LogisticRegression(
+        regParam=1 / (p["C"] * shape.rows), standardization=False, maxIter=p.get("max_iter", 100)
+    )
 
 
 def _knn(p, shape):
@@ -71,9 +73,10 @@ def _naive_bayes(p, shape):
 
 
 def _svc(p, shape):
-    return OneVsRest(
-        classifier=LinearSVC(regParam=1 / (p["C"] * shape.rows), standardization=False, maxIter=100)
+    margin = LinearSVC(
+        regParam=1 / (p["C"] * shape.rows), standardization=False, maxIter=p.get("max_iter", 100)
     )
+    return OneVsRest(classifier=margin)
 
 
 def _decision_tree(p, shape):
