@@ -14,7 +14,8 @@ SCHEMA = "customer string, segment string, sale double, date timestamp_ntz"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "patronage-tests", memory="4g")
+    session = local_session(8, "patronage-tests", memory="6g")
+    session.conf.set("spark.sql.shuffle.partitions", "3")
     yield session
     session.stop()
 
