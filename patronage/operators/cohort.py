@@ -48,7 +48,11 @@ def cohort_table(long: DataFrame, value: str, indexes: list[int] = INDEXES) -> D
     All twelve indexes are columns by default, which needs no look at the data.
     ``indexes=observed_indexes(long)`` leaves out the ones that never occur.
     """
-    return long.groupBy(COHORT).pivot(INDEX, indexes).agg(F.first(value)).orderBy(COHORT)
+    cells = [F.max(F.when(F.col(INDEX) == i, F.col(value))).alias(str(i)) for i in indexes]
+    if not cells:
+        return long.select(COHORT).distinct()
+    # Twelve rows at most.
+    return long.groupBy(COHORT).agg(*cells).repartition(1).sortWithinPartitions(COHORT)
 
 
 def observed_indexes(long: DataFrame) -> list[int]:

@@ -63,7 +63,8 @@ def ltv_cluster_info(frame: DataFrame) -> DataFrame:
     return (
         frame.groupBy(LABEL)
         .agg(F.avg(REVENUE).alias("Life Time Value (Revenue)"), F.count("*").alias("Customer Count"))
-        .orderBy(LABEL)
+        .repartition(1)
+        .sortWithinPartitions(LABEL)
     )
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.calendar import SHORT_MONTH, month_label
 from ..functions.nulls import known, ratio
-from .growth import _labelled
 
 TOTAL, RETAINED, RATE = "Total unique customer", "Retained customer", "Retention rate"
 
@@ -62,7 +61,10 @@ def by_month(measures: DataFrame, month_format: str = SHORT_MONTH) -> DataFrame:
     calendar = Window.partitionBy(F.lit(0)).orderBy("ym")
     retained = F.coalesce(F.try_element_at("arrivals", F.lag("ym").over(calendar)), F.lit(0))
     result = months.withColumn(RETAINED, retained).withColumn(RATE, ratio(RETAINED, TOTAL))
-    return _labelled(result.drop("arrivals"), month_format)
+    # The window has brought the months together, in order.
+    return result.sortWithinPartitions("ym").select(
+        month_label("ym", month_format).alias("y_m"), TOTAL, RETAINED, RATE
+    )
 
 
 def by_month_long(monthly: DataFrame) -> DataFrame:

@@ -124,7 +124,8 @@ def histogram(frame: DataFrame, measure: str, bins: int = 30) -> DataFrame:
             (F.col("low") + F.col("bin") * (F.col("high") - F.col("low")) / bins).alias("bin_end"),
             "count",
         )
-        .orderBy("bin")
+        .repartition(1)
+        .sortWithinPartitions("bin")
     )
 
 
@@ -139,5 +140,6 @@ def trend(segment: DataFrame, x: str, y: str) -> DataFrame:
             F.count("*").alias("points"),
         )
         .select(F.lit(x).alias("x"), F.lit(y).alias("y"), SEGMENT, "slope", "intercept", "r2", "points")
-        .orderBy(SEGMENT)
+        .repartition(1)
+        .sortWithinPartitions(SEGMENT)
     )

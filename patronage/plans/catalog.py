@@ -198,7 +198,7 @@ def _typed(base):
 
 
 def new_existing_rows(spark, sf):
-    return comparable(new_existing.typed_rows(orders_base(spark, sf).rows))
+    return comparable(new_existing.typed_rows(orders_base(spark, sf)))
 
 
 def new_existing_count(spark, sf):
@@ -236,7 +236,7 @@ def new_existing_type_percent_filtered(spark, sf):
 def retention_activity(spark, sf):
     base = orders_base(spark, sf)
     long = retention.activity_long(base.measures)
-    return comparable(growth._labelled(long, base.month_format))
+    return comparable(growth.labelled(long, base.month_format))
 
 
 def retention_by_customer(spark, sf):

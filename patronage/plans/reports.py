@@ -105,7 +105,7 @@ class NewExisting(Report):
     @cached_property
     def rows(self) -> DataFrame:
         """The bound rows with their purchase type."""
-        return new_existing.typed_rows(self.base.rows, self.month_format)
+        return new_existing.typed_rows(self.base)
 
     def _data(self):
         fmt = self.month_format

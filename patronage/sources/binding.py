@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.storagelevel import StorageLevel
@@ -63,9 +64,33 @@ class Base:
         side = F.broadcast(self._segments) if self._broadcast_segments else self._segments
         return df.join(side, "customer")
 
-    @property
+    @cached_property
     def rows(self) -> DataFrame:
-        df = self._with_segment(self._source)
+        return self._present(self._with_segment(self._source))
+
+    def rows_with(self, per_customer: DataFrame) -> DataFrame:
+        """Bound rows and the columns of a frame with one row per customer.
+
+        A large segment table is joined to that frame first.  The rows then
+        take part in one join, whose skewed side adaptive execution can split;
+        with two joins in a row on the same key it could not.
+        """
+        self._need_customer()
+        added = [c for c in per_customer.columns if c != "customer"]
+        if self._segments is None or self._broadcast_segments:
+            joined = self._with_segment(self._source).join(per_customer, "customer", "left")
+        else:
+            joined = self._source.join(self._segments.join(per_customer, "customer", "left"), "customer")
+        return self._present(joined, *added)
+
+    @cached_property
+    def first_dates(self) -> DataFrame:
+        """First date of each customer; needs no segment."""
+        self.require_dates()
+        dated = self._source.filter(F.col("customer").isNotNull())
+        return dated.groupBy("customer").agg(F.min("date").alias("first_date"))
+
+    def _present(self, df: DataFrame, *added: str) -> DataFrame:
         kind = self.entity.kind
         columns = [
             F.col("customer").alias(kind),
@@ -80,7 +105,7 @@ class Base:
                 F.dayofmonth("date").alias("day"),
                 month_label(month_key(F.col("date"), self.month_format), self.month_format).alias("y_m"),
             ]
-        return df.select(*columns)
+        return df.select(*columns, *added)
 
     def _as_measures(self, df: DataFrame) -> DataFrame:
         date = F.col("date") if self.has_dates else F.lit(None).cast("timestamp_ntz")
@@ -94,16 +119,18 @@ class Base:
             date.isNotNull().cast("long").alias("n_dates"),
         )
 
-    @property
+    @cached_property
     def facts(self) -> DataFrame:
         self._need_customer()
         return self._as_measures(self._with_segment(self._source))
 
     @property
     def activity(self) -> DataFrame:
+        return self._cached if self._cached is not None else self._planned_activity
+
+    @cached_property
+    def _planned_activity(self) -> DataFrame:
         self._need_customer()
-        if self._cached is not None:
-            return self._cached
         if self._segments is None or self._broadcast_segments:
             return _reduce(self.facts, "customer", "customer_segment", "ym")
         # The segment hangs on the customer alone, so joining after the

@@ -184,4 +184,5 @@ def test_separate_segment_table_changes_nothing(spark, broadcast_bytes):
         for name in mine:
             assert mine[name].columns == other[name].columns
             close(mine[name].collect(), [tuple(r) for r in other[name].collect()])
+    assert records(NewExisting(base).rows) == records(NewExisting(same).rows)
     close(RFMSegmentation(base).data["rfm"].collect(), RFMSegmentation(same).data["rfm"].collect())
