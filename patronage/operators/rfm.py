@@ -76,14 +76,14 @@ def rank_clusters(df: DataFrame, cluster: str, value: str, descending: bool = Fa
     """Replace arbitrary cluster labels by 0..k-1 in the order of their mean ``value``.
 
     For labels that come from elsewhere.  The frame of means has one row per
-    cluster, so numbering and broadcasting it is bounded by the cluster count.
+    cluster, so numbering it in one task is bounded by the cluster count.
     """
     means = df.filter(known(cluster)).groupBy(cluster).agg(F.avg(value).alias("mean"))
     order = F.col("mean").desc() if descending else F.col("mean").asc()
     ranks = means.select(
         cluster, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order, cluster)) - 1).alias("rank")
     )
-    return df.join(F.broadcast(ranks), cluster, "left").drop(cluster).withColumnRenamed("rank", cluster)
+    return df.join(ranks, cluster, "left").drop(cluster).withColumnRenamed("rank", cluster)
 
 
 def scored(frame: DataFrame) -> DataFrame:

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.calendar import LONG_MONTH
 from ..operators import basic, cohort, growth, kmeans1d, ltv, new_existing, retention, rfm
 from ..operators.materialize import materialize
+from ..operators.nearest import NearestNeighbors
 from ..sources import Dates, Entity, Sale, bind
 from ..sources.binding import calendar_values, row_count
 from .bindings import events_base, lineitem_base, orders_base, table
@@ -395,6 +397,31 @@ def ltv_cluster_info(spark, sf):
     return comparable(ltv.ltv_cluster_info(_ltv_clusters(spark, sf)), **{"Life Time Value (Revenue)": 4})
 
 
+def _training_data(spark, sf, cv):
+    return LifetimeValuePredictor(RFMSegmentation(orders_base(spark, sf))).training_data(cv=cv)
+
+
+def ltv_features(spark, sf):
+    """Imputed, scaled and encoded features of the trimmed customers, one column each."""
+    data, shape = _training_data(spark, sf, 5)
+    vector = vector_to_array("features")
+    cells = [vector[i].alias(f"feature_{i}") for i in range(shape.features)]
+    return comparable(data.select("customer", F.col("label").cast("long").alias("label"), *cells))
+
+
+def ltv_fold_sizes(spark, sf):
+    data, _ = _training_data(spark, sf, 5)
+    sizes = data.groupBy(F.col("label").cast("long").alias("label"), "fold").agg(F.count("*").alias("customers"))
+    return comparable(sizes)
+
+
+def ltv_nearest_neighbors(spark, sf):
+    """Label of each trimmed customer by the vote of its five nearest, itself included."""
+    data, _ = _training_data(spark, sf, 5)
+    predicted = NearestNeighbors(k=5).fit(data).transform(data)
+    return comparable(predicted.select("customer", F.col("prediction").cast("long").alias("prediction")))
+
+
 def _predictor(spark, sf, families):
     predictor = LifetimeValuePredictor(RFMSegmentation(orders_base(spark, sf)))
     predictor.choose_best_predictor(cv=2, grids={f: SMALL_GRIDS[f] for f in families})
@@ -502,6 +529,9 @@ QUERIES: dict[str, Query] = {
         ltv_trim_quantile,
         ltv_clusters,
         ltv_cluster_info,
+        ltv_features,
+        ltv_fold_sizes,
+        ltv_nearest_neighbors,
         *[_scores(family) for family in SMALL_GRIDS],
         ltv_predict,
         suite_result_sizes,

@@ -209,7 +209,12 @@ _MEASURES = ("Recency", "Frequency", "Monetary")
 _RFM_VALS = " UNION ALL ".join(f"""SELECT '{m}' AS col, customer AS id, "{m}" AS v FROM rfm""" for m in _MEASURES)
 _RFM_PROBLEMS = " UNION ALL ".join(f"SELECT '{m}' AS name, '{m}' AS col, 4 AS k" for m in _MEASURES)
 
-_SEGMENTED = f"""WITH RECURSIVE {_MAIN}, {_RFM}, {_kmeans(_RFM_VALS, _RFM_PROBLEMS, 4)},
+# The customers below the highest revenue, clustered by revenue along with the rest.
+_KEPT_VALS = """ UNION ALL SELECT 'kept', customer, "Total Revenue" FROM rfm
+  WHERE "Total Revenue" < (SELECT max("Total Revenue") FROM rfm)"""
+_KEPT_PROBLEM = " UNION ALL SELECT 'kept', 'kept', 3"
+
+_SEGMENTED = f"""WITH RECURSIVE {_MAIN}, {_RFM}, {_kmeans(_RFM_VALS + _KEPT_VALS, _RFM_PROBLEMS + _KEPT_PROBLEM, 4)},
 ranks AS (
   SELECT id AS customer,
          max(CASE WHEN name = 'Recency' THEN (SELECT max(cluster) FROM fitted WHERE name = 'Recency') - cluster END) AS r,
@@ -228,6 +233,22 @@ _SEGMENT_COLUMNS = f"""{_RFM_COLUMNS}, "Recency cluster", "Frequency cluster", "
   "RFM Overall Score", "RFM Segment" """
 
 
+_NUMBERS = (*_MEASURES, "Recency cluster", "Frequency cluster", "Monetary cluster", "RFM Overall Score")
+# Values of the two text features, in order.
+_VALUE_SEGMENTS = ("High Value", "Low Value", "Mid Value")
+_MARKET_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+_FEATURES = [
+    *[f'CAST("{c}" - min("{c}") OVER () AS DOUBLE) / (max("{c}") OVER () - min("{c}") OVER ())' for c in _NUMBERS],
+    *[f"""CASE WHEN "RFM Segment" = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END""" for v in _VALUE_SEGMENTS],
+    *[f"""CASE WHEN customer_segment = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END""" for v in _MARKET_SEGMENTS],
+]
+_TRAINING = f"""{_SEGMENTED}, training AS (
+  SELECT customer, cluster AS label, {", ".join(f"{e} AS feature_{i}" for i, e in enumerate(_FEATURES))}
+  FROM segment JOIN (SELECT DISTINCT customer, customer_segment FROM rows_) USING (customer)
+  JOIN fitted ON name = 'kept' AND id = customer)"""
+_DISTANCE = " + ".join(f"pow(a.feature_{i} - b.feature_{i}, 2)" for i in range(len(_FEATURES)))
+
+
 def _histogram(measure: str, digits: int) -> str:
     return f"""WITH {_MAIN}, {_RFM}, b AS (SELECT min("{measure}") AS low, max("{measure}") AS high FROM rfm),
 w AS (SELECT low, high, least(CAST(floor(30 * ("{measure}" - low) / (high - low)) AS BIGINT) + 1, 30) AS bin FROM rfm, b)
@@ -387,6 +408,17 @@ SELECT id AS customer, round(v, 2) AS "Total Revenue", cluster AS "LTV Cluster"
     "ltv_cluster_info": f"""{_LTV}
 SELECT cluster AS "LTV Cluster", round(avg(v), 4) AS "Life Time Value (Revenue)", count(*) AS "Customer Count"
 FROM fitted GROUP BY 1""",
+    "ltv_features": f"""{_TRAINING}
+SELECT customer, label, {", ".join(f"round(feature_{i}, 6) AS feature_{i}" for i in range(len(_FEATURES)))}
+FROM training""",
+    "ltv_fold_sizes": f"""{_TRAINING}, sizes AS (SELECT label, count(*) AS n FROM training GROUP BY 1)
+SELECT label, fold, CAST(n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END AS BIGINT) AS customers
+FROM sizes, range(5) f(fold)""",
+    "ltv_nearest_neighbors": f"""{_TRAINING}, near AS (
+  SELECT a.customer, b.label, row_number() OVER (PARTITION BY a.customer ORDER BY {_DISTANCE}, b.label) AS place
+  FROM training a, training b),
+votes AS (SELECT customer, label, count(*) AS n FROM near WHERE place <= 5 GROUP BY 1, 2)
+SELECT customer, CAST(arg_min(label, (-n, label)) AS BIGINT) AS prediction FROM votes GROUP BY 1""",
     "suite_result_sizes": f"WITH {_MAIN}, {_TYPED}\n"
     + "\nUNION ALL ".join(
         f"SELECT '{report}' AS report, '{name}' AS result, count(*) AS row_count FROM ({sql})"

@@ -27,6 +27,7 @@ class LifetimeValuePredictor:
         self.include_customer_id = include_customer_id
         self.scores: list[Score] | None = None
         self.best: Score | None = None
+        self.preprocessor: PipelineModel | None = None
         self.pipeline: PipelineModel | None = None
         self.ltv_cluster_info: DataFrame | None = None
 
@@ -59,27 +60,36 @@ class LifetimeValuePredictor:
         if grids is None:
             names = MODERN if only_modern_model else tuple(DEFAULT_GRIDS)
             grids = {name: DEFAULT_GRIDS[name] for name in names}
+        data, shape = self.training_data(revenue_clusters, remove_outlier_quantile, cv, seed)
+        self.scores = search(data, grids, shape, cv, parallelism)
+        self.best = max(self.scores, key=lambda s: s.best_score)
+        self.pipeline = PipelineModel(stages=[self.preprocessor, self.best.best_estimator])
+        return self.scores
+
+    def training_data(
+        self, revenue_clusters: int = 3, remove_outlier_quantile: float = 1, cv: int = 5, seed: int = 1
+    ) -> tuple[DataFrame, Shape]:
+        """Trim, label, encode and deal out the customers.
+
+        The frame has customer, customer_segment, features, label and fold.
+        Preprocessing is fitted once, on all of it, before any fold is held out.
+        """
         kept = ltv.trim_outliers(self.frame, remove_outlier_quantile)
         labelled = materialize(ltv.with_ltv_cluster(kept, revenue_clusters))
         self.ltv_cluster_info = ltv.ltv_cluster_info(labelled)
-
         numeric, categorical = ltv.feature_columns(labelled, self.include_customer_id)
         if ltv.missing_values(labelled, numeric + categorical):
             warnings.warn(
                 "missing feature values: numbers are filled with the mean, text with the commonest value",
-                stacklevel=2,
+                stacklevel=3,
             )
-        prepared = ltv.preprocessor(labelled, numeric, categorical)
-        folded = ltv.with_folds(prepared.transform(labelled), cv)
-        data = materialize(folded.select("features", F.col(ltv.LABEL).cast("double").alias("label"), "fold"))
-
+        self.preprocessor = ltv.preprocessor(labelled, numeric, categorical)
+        folded = ltv.with_folds(self.preprocessor.transform(labelled), cv)
+        label = F.col(ltv.LABEL).cast("double").alias("label")
+        data = materialize(folded.select("customer", "customer_segment", "features", label, "fold"))
         rows, classes = data.agg(F.count("*"), F.max("label")).first()
         features = len(data.first()["features"])
-        shape = Shape(rows, features, int(classes) + 1, seed)
-        self.scores = search(data, grids, shape, cv, parallelism)
-        self.best = max(self.scores, key=lambda s: s.best_score)
-        self.pipeline = PipelineModel(stages=[prepared, self.best.best_estimator])
-        return self.scores
+        return data, Shape(rows, features, int(classes) + 1, seed)
 
     @property
     def predictor_scores(self) -> DataFrame:
