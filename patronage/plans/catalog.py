@@ -430,7 +430,7 @@ def _predictor(spark, sf, families):
 
 def _scores(family):
     def query(spark, sf):
-        return _predictor(spark, sf, [family]).predictor_scores
+        return comparable(_predictor(spark, sf, [family]).predictor_scores)
 
     query.__name__ = f"ltv_scores_{family}"
     return query

@@ -248,6 +248,45 @@ _TRAINING = f"""{_SEGMENTED}, training AS (
   JOIN fitted ON name = 'kept' AND id = customer)"""
 _DISTANCE = " + ".join(f"pow(a.feature_{i} - b.feature_{i}, 2)" for i in range(len(_FEATURES)))
 
+# Two folds, dealt out within each label in the order of the customers.
+_FOLDED = f"""{_TRAINING}, folded AS (
+  SELECT *, (row_number() OVER (PARTITION BY label ORDER BY customer) - 1) % 2 AS fold FROM training),
+held AS (SELECT CAST(f AS BIGINT) AS held FROM range(2) t(f))"""
+_LONG = ", ".join(f"feature_{i}" for i in range(len(_FEATURES)))
+
+
+def _scores(family: str, params: str, predictions: str) -> str:
+    """Mean accuracy over the folds of ``predicted`` (held, customer, label, prediction)."""
+    return f"""{_FOLDED}, {predictions}
+SELECT '{family}' AS model, round(avg(accuracy), 6) AS best_score, '{params}' AS best_params
+FROM (SELECT held, avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy FROM predicted GROUP BY 1)"""
+
+
+_KNN_PREDICTIONS = f"""near AS (
+  SELECT a.fold AS held, a.customer, a.label, b.label AS other,
+         row_number() OVER (PARTITION BY a.customer ORDER BY {_DISTANCE}, b.label) AS place
+  FROM folded a JOIN folded b ON a.fold <> b.fold),
+votes AS (SELECT held, customer, label, other, count(*) AS n FROM near WHERE place <= 5 GROUP BY ALL),
+predicted AS (SELECT held, customer, label, arg_min(other, (-n, other)) AS prediction FROM votes GROUP BY 1, 2, 3)"""
+
+_BAYES_PREDICTIONS = f"""long AS (
+  SELECT customer, label, fold, unnest(range({len(_FEATURES)})) AS i, unnest([{_LONG}]) AS v FROM folded),
+smoothing AS (
+  SELECT held, 1e-9 * max(s2) AS eps
+  FROM (SELECT held, i, var_pop(v) AS s2 FROM long JOIN held ON fold <> held GROUP BY 1, 2) GROUP BY 1),
+moments AS (
+  SELECT held, label, i, avg(v) AS mu, var_pop(v) + max(eps) AS s2
+  FROM long JOIN held ON fold <> held JOIN smoothing USING (held) GROUP BY 1, 2, 3),
+priors AS (
+  SELECT held, label, ln(count(*) / sum(count(*)) OVER (PARTITION BY held)) AS prior
+  FROM folded JOIN held ON fold <> held GROUP BY 1, 2),
+likelihoods AS (
+  SELECT l.fold AS held, l.customer, l.label, m.label AS other,
+         max(p.prior) - sum(ln(2 * pi() * m.s2) / 2 + pow(l.v - m.mu, 2) / (2 * m.s2)) AS score
+  FROM long l JOIN moments m ON m.held = l.fold AND m.i = l.i
+  JOIN priors p ON p.held = m.held AND p.label = m.label GROUP BY 1, 2, 3, 4),
+predicted AS (SELECT held, customer, label, arg_max(other, score) AS prediction FROM likelihoods GROUP BY 1, 2, 3)"""
+
 
 def _histogram(measure: str, digits: int) -> str:
     return f"""WITH {_MAIN}, {_RFM}, b AS (SELECT min("{measure}") AS low, max("{measure}") AS high FROM rfm),
@@ -419,6 +458,8 @@ FROM sizes, range(5) f(fold)""",
   FROM training a, training b),
 votes AS (SELECT customer, label, count(*) AS n FROM near WHERE place <= 5 GROUP BY 1, 2)
 SELECT customer, CAST(arg_min(label, (-n, label)) AS BIGINT) AS prediction FROM votes GROUP BY 1""",
+    "ltv_scores_knn": _scores("knn", "{''n_neighbors'': 5}", _KNN_PREDICTIONS),
+    "ltv_scores_naive_bayes": _scores("naive_bayes", "{}", _BAYES_PREDICTIONS),
     "suite_result_sizes": f"WITH {_MAIN}, {_TYPED}\n"
     + "\nUNION ALL ".join(
         f"SELECT '{report}' AS report, '{name}' AS result, count(*) AS row_count FROM ({sql})"
