@@ -3,8 +3,9 @@
 On a line the clusters of k-means are intervals, so a model is a sorted list of
 boundaries and an assignment is a comparison.  Fitting takes three steps:
 
-1. Spark reduces each column to the count and sum of about a thousand bins.
-   The number of bins is fixed, whatever the number of rows.
+1. Spark reduces each column to the count and sum of one or two thousand bins.
+   Their number has a fixed bound, whatever the number of rows.  A first pass
+   counts coarse bins, a second one splits those that hold many rows.
 2. The best clustering of the bins is found by dynamic programming on the
    driver (as in Wang and Song, *Ckmeans.1d.dp*, 2011).  This takes the place
    of repeated random starts.
@@ -12,7 +13,8 @@ boundaries and an assignment is a comparison.  Fitting takes three steps:
    tolerance, as a rule after very few passes.  One aggregation moves the
    centers of every problem, and one row per center returns to the driver.
 
-Clusters are numbered by their means, so equal input gives equal labels.
+Clusters are numbered by their means.  Bins depend on extremes and counts only,
+so equal input gives equal labels however it is partitioned.
 """
 
 from __future__ import annotations
@@ -32,12 +34,13 @@ N_INIT = 10
 MAX_ITER = 300
 TOL = 1e-4
 
-# Bin edges per column: quantiles keep the bulk apart, even steps and steps
-# that halve every fourth time towards either end keep long tails apart.
-QUANTILES = 500
+# Coarse bin edges per column: even steps, and steps that halve every fourth
+# time towards either end to keep long tails apart.
 STEPS = 250
 HALVINGS = 120
-QUANTILE_ACCURACY = 10_000
+# A coarse bin with more than one part in SHARES of the rows is split, twice as
+# often as it holds such parts.
+SHARES = 500
 
 
 @dataclass(frozen=True)
@@ -80,12 +83,7 @@ def fit(df: DataFrame, problems: list[Problem], max_iter: int = MAX_ITER, tol: f
 
 
 def _summaries(values, columns):
-    """Count, range, variance and quantiles of each column, in one job.
-
-    ``percentile_approx`` keeps a sketch of fixed size, where an exact
-    percentile would bring the whole column to one task.
-    """
-    positions = [i / QUANTILES for i in range(1, QUANTILES)]
+    """Count, range and variance of each column, in one job."""
     aggregates = []
     for i, c in enumerate(columns):
         aggregates += [
@@ -93,41 +91,63 @@ def _summaries(values, columns):
             F.min(c).alias(f"min{i}"),
             F.max(c).alias(f"max{i}"),
             F.var_pop(c).alias(f"var{i}"),
-            F.percentile_approx(c, positions, QUANTILE_ACCURACY).alias(f"quantiles{i}"),
         ]
     row = values.agg(*aggregates).first()
-    names = ("n", "min", "max", "var", "quantiles")
-    return {c: {name: row[f"{name}{i}"] for name in names} for i, c in enumerate(columns)}
+    return {c: {name: row[f"{name}{i}"] for name in ("n", "min", "max", "var")} for i, c in enumerate(columns)}
 
 
-def bin_edges(summary: dict) -> list[float]:
+def coarse_edges(summary: dict) -> list[float]:
     low, high = summary["min"], summary["max"]
     span = high - low
-    edges = set(summary["quantiles"])
-    edges.update(low + span * i / STEPS for i in range(1, STEPS))
     shares = [math.pow(2.0, -i / 4) for i in range(1, HALVINGS + 1)]
+    edges = {low + span * i / STEPS for i in range(1, STEPS)}
     edges.update(low + span * s for s in shares)
     edges.update(high - span * s for s in shares)
     return sorted(edges)
 
 
-def _starts(values, problems, summaries):
-    """Means of the best clusters of the binned columns, per problem."""
-    binned = []
-    for c, summary in summaries.items():
+def split_edges(bins: list) -> list[float]:
+    """Edges that split the full bins evenly between their lowest and highest value."""
+    n = sum(b["weight"] for b in bins)
+    edges = set()
+    for b in bins:
+        if b["weight"] * SHARES > n:
+            parts = 2 * -(-b["weight"] * SHARES // n)
+            edges.update(b["low"] + (b["high"] - b["low"]) * i / parts for i in range(1, parts))
+    return sorted(edges)
+
+
+def _bins(values, edges):
+    """Weight, sum and range of the filled bins of each column, in order.
+
+    At most ``len(edges) + 1`` rows per column come to the driver.
+    """
+    counted = []
+    for c, column_edges in edges.items():
         column = values.select(F.col(c).alias("value")).filter(F.col("value").isNotNull())
-        splits = [-math.inf, *bin_edges(summary), math.inf]
-        bins = Bucketizer(splits=splits, inputCol="value", outputCol="bin").transform(column)
-        binned.append(
-            bins.groupBy("bin")
-            .agg(F.count("*").alias("weight"), F.sum("value").alias("total"))
-            .select(F.lit(c).alias("column"), "bin", "weight", "total")
+        splits = [-math.inf, *column_edges, math.inf]
+        binned = Bucketizer(splits=splits, inputCol="value", outputCol="bin").transform(column)
+        counted.append(
+            binned.groupBy("bin")
+            .agg(
+                F.count("*").alias("weight"),
+                F.sum("value").alias("total"),
+                F.min("value").alias("low"),
+                F.max("value").alias("high"),
+            )
+            .withColumn("column", F.lit(c))
         )
-    # At most len(edges) + 1 rows per column.
-    rows = reduce(DataFrame.unionByName, binned).collect()
+    rows = sorted(reduce(DataFrame.unionByName, counted).collect(), key=lambda r: r["bin"])
+    return {c: [r for r in rows if r["column"] == c] for c in edges}
+
+
+def _starts(values, problems, summaries):
+    """Means of the best clusters of the binned columns, per problem."""
+    edges = {c: coarse_edges(summary) for c, summary in summaries.items()}
+    coarse = _bins(values, edges)
+    fine = _bins(values, {c: sorted({*edges[c], *split_edges(coarse[c])}) for c in edges})
     starts = {}
-    for c in summaries:
-        bins = sorted((r for r in rows if r["column"] == c), key=lambda r: r["bin"])
+    for c, bins in fine.items():
         weights = np.array([r["weight"] for r in bins], dtype=float)
         totals = np.array([r["total"] for r in bins], dtype=float)
         wanted = {p.name: p.k for p in problems if p.column == c}

@@ -32,9 +32,8 @@ def typed_activity(measures: DataFrame, month_format: str = SHORT_MONTH) -> Data
         F.min("first_date").alias("first_date")
     )
     first = F.min("first_date").over(Window.partitionBy("customer"))
-    return reduced.select(
-        "customer", "customer_segment", "ym", _is_new(first, F.col("ym"), month_format).alias("type")
-    )
+    kind = _is_new(F.col("first"), F.col("ym"), month_format)
+    return reduced.withColumn("first", first).select("customer", "customer_segment", "ym", kind.alias("type"))
 
 
 def typed_rows(base: Base) -> DataFrame:

@@ -140,15 +140,20 @@ def _kmeans(vals: str, problems: str, most: int) -> str:
     """
     return f"""vals AS ({vals}), problems AS ({problems}),
 stats AS (SELECT col, min(v) AS low, max(v) AS high, var_pop(v) AS variance FROM vals GROUP BY 1),
-ordered AS (
-  SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY v) AS rn, count(*) OVER (PARTITION BY col) AS n
-  FROM vals),
-edges AS (
-  SELECT o.col, o.v AS edge FROM ordered o, range(1, {kmeans1d.QUANTILES}) q(i)
-  WHERE o.rn = ceil(CAST(i AS DOUBLE) / {kmeans1d.QUANTILES} * o.n)
-  UNION SELECT col, low + (high - low) * i / {kmeans1d.STEPS} FROM stats, range(1, {kmeans1d.STEPS}) q(i)
+coarse AS (
+  SELECT col, low + (high - low) * i / {kmeans1d.STEPS} AS edge FROM stats, range(1, {kmeans1d.STEPS}) q(i)
   UNION SELECT col, low + (high - low) * pow(2.0, -CAST(i AS DOUBLE) / 4) FROM stats, range(1, {kmeans1d.HALVINGS} + 1) q(i)
   UNION SELECT col, high - (high - low) * pow(2.0, -CAST(i AS DOUBLE) / 4) FROM stats, range(1, {kmeans1d.HALVINGS} + 1) q(i)),
+counted AS (
+  SELECT *, sum(weight) OVER (PARTITION BY col) AS n
+  FROM (SELECT v.col, e.edge, count(*) AS weight, min(v.v) AS low, max(v.v) AS high
+        FROM vals v ASOF LEFT JOIN coarse e ON v.col = e.col AND v.v >= e.edge GROUP BY 1, 2)),
+parts AS (
+  SELECT col, low, high, CAST(2 * ((weight * {kmeans1d.SHARES} + n - 1) // n) AS BIGINT) AS parts
+  FROM counted WHERE weight * {kmeans1d.SHARES} > n),
+edges AS (
+  SELECT col, edge FROM coarse
+  UNION SELECT col, low + (high - low) * i / parts FROM (SELECT *, unnest(range(1, parts)) AS i FROM parts)),
 placed AS (
   SELECT v.col, v.v, e.edge FROM vals v ASOF LEFT JOIN edges e ON v.col = e.col AND v.v >= e.edge),
 bins AS (

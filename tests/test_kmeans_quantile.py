@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from patronage.operators.kmeans1d import Problem, bin_edges, fit, fit_mllib, optimal_means
+from patronage.operators.kmeans1d import Problem, coarse_edges, fit, fit_mllib, optimal_means, split_edges
 from patronage.operators.quantile import exact_quantile
 
 
@@ -96,9 +96,13 @@ def test_optimal_means_of_weighted_bins():
     assert optimal_means(weights, totals, 2) == [[pytest.approx(32 / 5)], [0.5, pytest.approx(31 / 3)]]
 
 
-def test_bin_edges_ascend():
-    edges = bin_edges({"min": 0.0, "max": 8.0, "quantiles": [1.0, 1.0, 3.0]})
-    assert edges == sorted(set(edges)) and 1.0 in edges and min(edges) >= 0
+def test_bin_edges():
+    edges = coarse_edges({"min": 0.0, "max": 8.0})
+    assert edges == sorted(set(edges)) and 4.0 in edges and 0 < min(edges) and max(edges) < 8
+    assert coarse_edges({"min": 3.0, "max": 3.0}) == [3.0]
+    bins = [{"weight": 1, "low": 0.0, "high": 1.0}, {"weight": 999, "low": 2.0, "high": 3.0}]
+    split = split_edges(bins)
+    assert len(split) == 2 * 500 - 1 and all(2 < e < 3 for e in split)
 
 
 @pytest.mark.parametrize("q", [0, 0.001, 0.25, 0.5, 0.9, 0.95, 1])
