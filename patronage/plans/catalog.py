@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.calendar import LONG_MONTH
-from ..operators import basic, cohort, growth, kmeans1d, ltv, new_existing, retention, rfm
+from ..operators import basic, cohort, growth, ltv, new_existing, retention, rfm
 from ..operators.materialize import materialize
 from ..operators.nearest import NearestNeighbors
 from ..sources import Dates, Entity, Sale, bind

@@ -106,9 +106,14 @@ class Dates:
         It is implied by :meth:`part_filter`; a file scan can skip row groups
         by it, which it cannot by a year() call.
         """
-        if not self.years or not isinstance(df.schema[self.column].dataType, T.TimestampNTZType):
+        dtype = df.schema[self.column].dataType
+        if not self.years or not isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType)):
             return None
         col = F.col(self.column)
+
+        def start(year):
+            return F.lit(datetime(year, 1, 1).isoformat(sep=" ")).cast(dtype)
+
         spans = []
         for year in sorted({int(y) for y in self.years}):
             if spans and spans[-1][1] == year:
@@ -119,12 +124,5 @@ class Dates:
             return None
         return reduce(
             lambda a, b: a | b,
-            [
-                (col >= _year_start(first)) & (col < _year_start(after))
-                for first, after in spans
-            ],
+            [(col >= start(first)) & (col < start(after)) for first, after in spans],
         )
-
-
-def _year_start(year: int) -> Column:
-    return F.lit(datetime(year, 1, 1).isoformat(sep=" ")).cast("timestamp_ntz")

@@ -167,6 +167,8 @@ def test_date_and_zoned_columns_are_accepted(spark):
     for kind in ("date", "timestamp"):
         df = spark.range(1).select(F.lit("a").alias("c"), F.lit(1.0).alias("s"), F.lit("2020-02-03").cast(kind).alias("d"))
         assert bind(df, Entity("c"), Sale("s"), Dates("d")).rows.first().y_m == "20_02"
+        assert bind(df, Entity("c"), Sale("s"), Dates("d", years=[2020, 2021])).rows.count() == 1
+        assert bind(df, Entity("c"), Sale("s"), Dates("d", years=[2019, 2021])).rows.count() == 0
     with pytest.raises(ValueError):
         bind(df.withColumn("d", F.lit(5)), Entity("c"), Sale("s"), Dates("d"))
 

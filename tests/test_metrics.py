@@ -200,7 +200,15 @@ def test_by_customer_with_given_months(make_base):
 
 
 def test_cohorts_ignore_the_year(grain):
-    base = grain([("a", "x", 5.0, "2020-12-01"), ("a", "x", 10.0, "2021-01-01"), ("b", "x", 2.0, "2020-12-01"), (None, "x", 9.0, "2020-12-01"), ("a", "x", 9.0, None)])
+    base = grain(
+        [
+            ("a", "x", 5.0, "2020-12-01"),
+            ("a", "x", 10.0, "2021-01-01"),
+            ("b", "x", 2.0, "2020-12-01"),
+            (None, "x", 9.0, "2020-12-01"),
+            ("a", "x", 9.0, None),
+        ]
+    )
     data = Cohort(base).data
     assert data["by_revenue"].columns == ["Cohort Month", "1", "12"]
     assert records(data["by_revenue"]) == [(1, 10.0, 5.0), (12, 2.0, None)]
