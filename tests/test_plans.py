@@ -108,7 +108,39 @@ def test_typed_rows_join_the_rows_once(spark, parquet, no_broadcast):
     assert not any("SortMergeJoin" in line for line in rows_side)
 
 
-def test_checkpoint_folder_of_the_session_is_used(spark, tmp_path):
+class FakeSession:
+    """Enough of a session to see which checkpoint folder is chosen."""
+
+    def __init__(self, master, configured=None, folder=None):
+        self.folder, self.master, self.configured = folder, master, configured
+        self.sparkContext = self.conf = self
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+    def get(self, key, default):
+        assert key == "spark.checkpoint.dir"
+        return self.configured or default
+
+
+@pytest.mark.parametrize(
+    "session, ready, folder",
+    [
+        (FakeSession("yarn", configured="hdfs:///shared"), True, "hdfs:///shared"),
+        (FakeSession("yarn", folder="hdfs:///set"), True, "hdfs:///set"),
+        (FakeSession("local[2]", configured="/shared"), True, "/shared"),
+        (FakeSession("yarn"), False, None),
+    ],
+)
+def test_checkpoint_folder_of_the_cluster_is_used(session, ready, folder):
+    assert checkpoint_dir_ready(session) is ready
+    assert session.folder == folder
+
+
+def test_local_session_gets_a_checkpoint_folder(spark):
     assert checkpoint_dir_ready(spark)
     assert spark.sparkContext.getCheckpointDir() is not None
 
