@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .secret_scan import OP1_SQL, op1_secret_scan
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op4_exact_dedup": op4_exact_dedup,
 }
 
 ORACLE = {
+    "op1_secret_scan": OP1_SQL,
     "op4_exact_dedup": OP4_SQL,
 }
