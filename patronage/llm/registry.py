@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .secret_scan import OP1_SQL, op1_secret_scan
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_toxicity": op7_toxicity,
 }
 
 ORACLE = {

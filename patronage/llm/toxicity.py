@@ -63,6 +63,12 @@ def pair_key(left, word):
     return mix(left * U(0x9E3779B97F4A7C15) + word)
 
 
+def once_per_document(hashes, first):
+    """Positions of each document's different bigrams, so that repetition within it counts once."""
+    doc = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
+    return np.unique(pair_key(left_words(hashes, first), hashes) + doc * U(0xA0761D6478BD642F), return_index=True)[1]
+
+
 class Lookup:
     """Positions of at most 2 ** bits keys by open buckets; other keys give -1."""
 
@@ -143,7 +149,7 @@ def chosen_rows(labels: DataFrame, id_col: str, label_col: str, sample: int) ->
 
 
 def class_bigrams(rows: DataFrame) -> DataFrame:
-    """(label, left, word, n, docs) of the rows (label, text)."""
+    """(label, left, word, n) of the rows (label, text); n counts documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, kept, size = word_hasher(), [], 0
@@ -162,9 +168,10 @@ def class_bigrams(rows: DataFrame) -> DataFrame:
         for batch in batches:
             labels = batch.column(0).to_numpy(zero_copy_only=False)
             for i, hashes, first in blocks_of_words(batch.column(1), hasher):
+                left, once = left_words(hashes, first), once_per_document(hashes, first)
                 label = np.repeat(labels[i : i + len(first) - 1], np.diff(first))
-                kept.append((label, left_words(hashes, first), hashes))
-                size += len(hashes)
+                kept.append((label[once], left[once], hashes[once]))
+                size += len(once)
                 if size >= FLUSH:
                     yield combined()
                     kept, size = [], 0
@@ -195,8 +202,7 @@ def shared_counts(docs: DataFrame, text: Column, words: np.ndarray) -> tuple[np.
         summed, total = np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
             for _, hashes, first in blocks_of_words(batch.column(0), hasher):
-                doc = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
-                _, kept = np.unique(pair_key(left_words(hashes, first), hashes) + doc * U(0xA0761D6478BD642F), return_index=True)
+                kept = once_per_document(hashes, first)
                 found = at(hashes[kept])
                 summed += np.bincount(found[found >= 0], minlength=len(summed))
                 total += len(kept)
