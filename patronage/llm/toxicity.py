@@ -1,6 +1,8 @@
-"""Toxicity by two Kneser-Ney bigram models, one of toxic and one of ordinary text.
+"""Toxicity by two Kneser-Ney models, one of toxic and one of ordinary text.
 
-A document's evidence is the mean per word of log P(toxic model) - log
+The units ("words" below) are byte 5-grams of the folded text, the bigrams thus
+6-grams: insults are often stems that occur in many forms, each of them rare.
+A document's evidence is the mean per unit of log P(toxic model) - log
 P(ordinary model), so it does not depend on the length.  Both models back off
 to the same distribution, the continuation counts of the whole corpus
 (labelled or not): a rare expression is then as likely in both classes, unless
@@ -24,30 +26,52 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import table, whole_text
-from .kernels import U, WordHasher, document_blocks, mix, text_buffers
+from .kernels import U, document_blocks, mix, text_buffers
 
-SAMPLE = 4096
+SAMPLE = 2048
+GRAM = 5
 BITS = 18
 # (ratio, discount) tried on rows that the models have not seen.
 DISCOUNTS = ((1.0, 0.75), (2.0, 2.0), (2.0, 4.0), (3.0, 8.0))
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
-def word_hasher() -> WordHasher:
-    """Lower-cased runs of letters, digits and bytes beyond ASCII."""
-    hasher = WordHasher(lower=True)
+def folding() -> np.ndarray:
+    """Lower-cases A-Z and turns ASCII other than letters and digits into spaces."""
+    fold = np.arange(256, dtype=np.uint8)
+    fold[65:91] += 32
     kept = np.zeros(256, bool)
     kept[48:58] = kept[97:123] = kept[128:] = True
-    hasher.space = ~kept
-    return hasher
+    fold[~kept[fold]] = 32
+    return fold
 
 
-def blocks_of_words(column, hasher):
-    """(first document, hashes, word offsets) of each block of a batch."""
+def blocks_of_words(column, fold):
+    """(first document, units, unit offsets) of each block of a batch.
+
+    A unit is the hash of the last GRAM bytes at each position of the folded
+    text, runs of spaces counting as one; so a stem is recognised in any of
+    its words.
+    """
     data, offs = text_buffers(column)
-    for i, j in document_blocks(offs):
-        hashes, _, _, first = hasher.words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-        yield i, hashes, first
+    for i, j in document_blocks(offs, 1 << 18):
+        piece, first = fold[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i]
+        kept = np.ones(len(piece), bool)
+        kept[1:] = (piece[1:] != 32) | (piece[:-1] != 32)
+        starts = first[:-1]
+        kept[starts[starts < len(piece)]] = True
+        first = np.concatenate([[0], np.cumsum(kept)])[first]
+        piece = piece[kept].astype(np.uint64)
+        gram = piece.copy()
+        starts = first[:-1]
+        for k in range(1, GRAM):
+            before = np.zeros(len(piece), np.uint64)
+            before[k:] = piece[:-k]
+            for edge in range(k):  # nothing stands before the start of a document
+                at = starts + edge
+                before[at[at < len(piece)]] = 0
+            gram |= before << U(8 * k)
+        yield i, mix(gram), first
 
 
 def left_words(hashes, first):
@@ -106,7 +130,7 @@ class Model:
 
     def evidence(self):
         """A function of an Arrow text column giving the mean log ratio per word."""
-        hasher, word_at, pair_at = word_hasher(), Lookup(self.words), Lookup(self.pairs)
+        fold, word_at, pair_at = folding(), Lookup(self.words), Lookup(self.pairs)
         ratio = lambda x: x[1] - x[0]
         word = np.append(ratio(self.word_log), ratio(self.other_log))
         history = np.append(ratio(self.history_log), 0.0)
@@ -114,7 +138,7 @@ class Model:
 
         def of(column):
             out = np.zeros(len(column))
-            for i, hashes, first in blocks_of_words(column, hasher):
+            for i, hashes, first in blocks_of_words(column, fold):
                 at = word_at(hashes)
                 before = np.full(len(at), -1, np.int64)
                 before[1:] = at[:-1]
@@ -152,7 +176,7 @@ def class_bigrams(rows: DataFrame) -> DataFrame:
     """(label, left, word, n) of the rows (label, text); n counts documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, kept, size = word_hasher(), [], 0
+        fold, kept, size = folding(), [], 0
 
         def combined():
             label, left, word = (np.concatenate(x) for x in zip(*kept))
@@ -167,7 +191,7 @@ def class_bigrams(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             labels = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, hashes, first in blocks_of_words(batch.column(1), hasher):
+            for i, hashes, first in blocks_of_words(batch.column(1), fold):
                 left, once = left_words(hashes, first), once_per_document(hashes, first)
                 label = np.repeat(labels[i : i + len(first) - 1], np.diff(first))
                 kept.append((label[once], left[once], hashes[once]))
@@ -198,10 +222,10 @@ def shared_counts(docs: DataFrame, text: Column, words: np.ndarray) -> tuple[np.
     shared = spark.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, at = word_hasher(), Lookup(shared.value)
+        fold, at = folding(), Lookup(shared.value)
         summed, total = np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
-            for _, hashes, first in blocks_of_words(batch.column(0), hasher):
+            for _, hashes, first in blocks_of_words(batch.column(0), fold):
                 kept = once_per_document(hashes, first)
                 found = at(hashes[kept])
                 summed += np.bincount(found[found >= 0], minlength=len(summed))
