@@ -39,6 +39,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bound the Arrow batches of this session to ``rows`` rows; smaller settings stay.
+
+    Texts may be long, and a batch is held in the executor's JVM and in Python.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def whole_text(column: str = "text"):
     """The text; null counts as empty."""
     return F.coalesce(F.col(f"`{column}`"), F.lit(""))

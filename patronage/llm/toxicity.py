@@ -25,14 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import table, whole_text
+from .common import small_batches, table, whole_text
 from .kernels import U, document_blocks, mix, text_buffers
 
 SAMPLE = 2048
 GRAM = 5
 BITS = 18
 # (ratio, discount) tried on rows that the models have not seen.
-DISCOUNTS = ((1.0, 0.75), (2.0, 2.0), (2.0, 4.0), (3.0, 8.0))
+DISCOUNTS = ((1.0, 0.75), (2.0, 2.0), (2.0, 6.0), (4.0, 2.0))
+# Sightings granted to a class that has few, when the other class's rate is compared with it.
+DOUBT = 3.0
 FLUSH = 1 << 19
 
 
@@ -254,6 +256,7 @@ def fit(
 ) -> Model:
     """Learn both models; without labelled rows of both classes every score is 0.5 or less."""
     limit = 1 << bits
+    small_batches(docs.sparkSession)
     chosen = chosen_rows(labels, id_col, label_col, sample)
     text = whole_text(text_col)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
@@ -315,7 +318,7 @@ def tables(ratio: float, discount: float, as_word: dict, as_left: dict, as_pair:
         kept = np.maximum(as_word[f"types{c}"] - ratio * types * backoff - discount, 0)
         spread = max(1 - kept.sum() / types, 1e-9)
         p_word = kept / types + spread * backoff
-        explained = lefts[c][at] * counts[1 - c] / lefts[1 - c][at]
+        explained = lefts[c][at] * (counts[1 - c] + DOUBT) / (as_left[f"n{1 - c}"][at] + DOUBT)
         own = np.maximum(counts[c] - ratio * explained - discount, 0)
         weight = np.maximum(1 - np.bincount(at, own, len(lefts[c])) / lefts[c], 1e-9)
         history = np.ones(len(words))
