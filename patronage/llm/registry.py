@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op2_byte_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .secret_scan import OP1_SQL, op1_secret_scan
 from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_byte_bpe": op2_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_toxicity": op7_toxicity,
 }
