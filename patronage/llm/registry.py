@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from .byte_bpe import op2_byte_bpe
+from .decontaminate import op3_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .near_dedup import op10_near_dedup
 from .secret_scan import OP1_SQL, op1_secret_scan
 from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_toxicity": op7_toxicity,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE = {
