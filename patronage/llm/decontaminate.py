@@ -210,16 +210,20 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     small_batches(docs.sparkSession)
     clean = docs
     for block in item_blocks(benchmark, item_col, "text", block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        clean = clean.where(~leaked(docs.sparkSession.sparkContext.broadcast(block), share)(whole_text(text_col)))
+    return clean
 
-        @F.arrow_udf("boolean")
-        def leaked(columns: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:
-            matcher = Matcher(shared.value, share)
-            for column in columns:
-                yield pa.array([bool(matcher.find(t.as_py(), any_one=True)) for t in column], pa.bool_())
 
-        clean = clean.where(~leaked(whole_text(text_col)))
-    return clean
+def leaked(items, share: float):
+    """Whether any of the broadcast items occurs, as a column function."""
+
+    @F.arrow_udf("boolean")
+    def found(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matcher = Matcher(items.value, share)
+        for column in columns:
+            yield pa.array([bool(matcher.find(t.as_py(), any_one=True)) for t in column], pa.bool_())
+
+    return found
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
