@@ -7,6 +7,7 @@ from .decontaminate import op3_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .near_dedup import op10_near_dedup
 from .secret_scan import OP1_SQL, op1_secret_scan
+from .substring_dedup import op5_substring_dedup
 from .toxicity import op7_toxicity
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op10_near_dedup": op10_near_dedup,
 }
