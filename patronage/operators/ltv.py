@@ -20,8 +20,10 @@ from .rfm import REVENUE
 
 LABEL = "LTV Cluster"
 PREDICTED = "Life Time Value Predicted"
-# Rows of one label that one task may number.
-FOLD_ROWS = 100_000
+# Hexadecimal digits of the customers' digests that make the buckets of the folds.
+FOLD_DIGITS = 3
+# Largest number of different texts that a categorical feature may have.
+MOST_CATEGORIES = 10_000
 
 
 def customer_segments(measures: DataFrame) -> DataFrame:
@@ -102,6 +104,13 @@ def numeric_as_double(frame: DataFrame, numeric: list[str]) -> DataFrame:
     return frame.withColumns({c: F.col(c).cast("double") for c in numeric})
 
 
+def refuse_wide(frame: DataFrame, categorical: list[str], most: int = MOST_CATEGORIES) -> None:
+    """Encoding makes a feature of every value, so a text id is no category."""
+    for column in categorical:
+        if frame.select(column).distinct().limit(most + 1).count() > most:
+            raise ValueError(f"column {column!r} has more than {most} different texts and cannot be a categorical feature")
+
+
 def preprocessor(frame: DataFrame, numeric: list[str], categorical: list[str]) -> PipelineModel:
     """Fit imputation, scaling and encoding, which end in one ``features`` vector.
 
@@ -121,6 +130,7 @@ def preprocessor(frame: DataFrame, numeric: list[str], categorical: list[str]) -
         ]
         parts.append("scaled")
     if categorical:
+        refuse_wide(frame, categorical)
         texts = []
         for i, c in enumerate(categorical):
             fill = (most_frequent(frame, c) or "").replace("\\", "\\\\").replace("'", "\\'")
@@ -148,12 +158,13 @@ def preprocessor(frame: DataFrame, numeric: list[str], categorical: list[str]) -
 def with_folds(frame: DataFrame, folds: int, label: str = LABEL, order: tuple = ("customer", "customer_segment")) -> DataFrame:
     """Add ``fold``, dealt out evenly within each label.
 
-    Rows are numbered within buckets of each label, and each bucket continues
-    where the one before it ended, so no task numbers a whole label.
+    Rows are numbered in the order of a digest of ``order``: within buckets that
+    share its first digits, each of which continues where the one before it
+    ended.  So no task numbers a whole label, and the folds do not depend on
+    the number of rows.
     """
-    rows = frame.count()
-    buckets = max(1, -(-rows // FOLD_ROWS))
-    bucketed = frame.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    digest = F.md5(F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in order]))
+    bucketed = frame.withColumn("digest", digest).withColumn("bucket", F.substring("digest", 1, FOLD_DIGITS))
     earlier = Window.partitionBy(label).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # One row per label and bucket.
     offsets = (
@@ -161,7 +172,7 @@ def with_folds(frame: DataFrame, folds: int, label: str = LABEL, order: tuple =
         .agg(F.count("*").alias("n"))
         .select(label, "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     )
-    number = F.row_number().over(Window.partitionBy(label, "bucket").orderBy(*order))
+    number = F.row_number().over(Window.partitionBy(label, "bucket").orderBy("digest", *order))
     numbered = bucketed.withColumn("number", number).join(offsets, [label, "bucket"])
     fold = F.pmod(F.col("offset") + F.col("number") - 1, F.lit(folds)).cast("int")
-    return numbered.withColumn("fold", fold).drop("bucket", "number", "offset")
+    return numbered.withColumn("fold", fold).drop("digest", "bucket", "number", "offset")

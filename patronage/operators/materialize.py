@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.storagelevel import StorageLevel
 
 
 def checkpoint_dir_ready(spark) -> bool:
-    """Whether reliable checkpoints can be written.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only
-    a local session that names none gets a temporary folder.
-    """
+    """Whether reliable checkpoints can be written: to the folder in ``spark.checkpoint.dir``."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return True
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and sc.master.startswith("local"):
-        configured = tempfile.mkdtemp(prefix="patronage-checkpoint-")
     if configured is None:
         return False
     sc.setCheckpointDir(configured)
@@ -30,8 +22,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once; the result survives the loss of executors.
 
     Written to the checkpoint folder where there is one.  Otherwise persisted,
-    in which case lost blocks are recomputed from the source.
+    in which case lost blocks are recomputed from the source, and ``release``
+    frees them.
     """
     if checkpoint_dir_ready(df.sparkSession):
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Free frames that were persisted; checkpoints belong to their folder."""
+    for df in frames:
+        if df is not None and df.storageLevel != StorageLevel.NONE:
+            df.unpersist()

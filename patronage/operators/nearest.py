@@ -1,13 +1,14 @@
-"""k-nearest-neighbour classification as map-only Spark stages.
+"""k-nearest-neighbour classification as one map-only Spark stage.
 
-Training rows are taken in blocks of bounded size.  Each block is broadcast and
-every row to be classified updates its own best k, so neither pairs nor groups
-are ever formed or shuffled, and any number of training rows gives exact
-neighbours.  The work is the product of the two row counts.
+The training rows are broadcast and every row to be classified finds its k
+nearest in its own task, so neither pairs nor groups are formed or shuffled.
+``max_training_rows`` bounds what is collected and broadcast: of more rows, the
+model is fitted on those with the smallest hashes, whatever the partitioning.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,94 +17,69 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from .materialize import materialize
-
-BLOCK_ROWS = 20_000
-# Rows compared with a block at a time, which bounds a task's memory.
+MAX_TRAINING_ROWS = 50_000
+# Rows compared with the training rows at a time, which bounds a task's memory.
 QUERY_ROWS = 256
-BEST = "struct<distances:array<double>, labels:array<double>>"
 
 
 class NearestNeighbors(Estimator):
-    def __init__(self, k: int, featuresCol: str = "features", labelCol: str = "label", block_rows: int = BLOCK_ROWS):
+    def __init__(self, k: int, featuresCol: str = "features", labelCol: str = "label", max_training_rows: int = MAX_TRAINING_ROWS):
         super().__init__()
         self.k = k
         self.features_col = featuresCol
         self.label_col = labelCol
-        self.block_rows = block_rows
+        self.max_training_rows = max_training_rows
 
     def _fit(self, dataset: DataFrame) -> "NearestNeighborsModel":
-        rows = dataset.count()
-        blocks = max(1, -(-2 * rows // self.block_rows)) if rows > self.block_rows else 1
-        vectors = dataset.select(
+        rows = dataset.select(
             vector_to_array(self.features_col).alias("vector"), F.col(self.label_col).cast("double").alias("label")
         )
-        # Equal vectors share a hash, so a row number decides instead.
-        numbered = vectors.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
-        return NearestNeighborsModel(materialize(numbered), blocks, self.k, self.features_col)
+        most = self.max_training_rows
+        chosen = rows.orderBy(F.xxhash64("vector", "label"), "label", "vector").limit(most + 1).collect()
+        if len(chosen) > most:
+            warnings.warn(f"nearest neighbours are fitted on {most} of the training rows", stacklevel=3)
+        chosen = sorted(chosen[:most], key=lambda r: (r["label"], r["vector"]))
+        width = len(chosen[0]["vector"]) if chosen else 0
+        points = np.array([r["vector"] for r in chosen]).reshape(len(chosen), width)
+        labels = np.array([r["label"] for r in chosen])
+        return NearestNeighborsModel(points, labels, self.k, self.features_col)
 
 
 class NearestNeighborsModel(Model):
-    def __init__(self, training: DataFrame, blocks: int, k: int, features_col: str):
+    def __init__(self, points: np.ndarray, labels: np.ndarray, k: int, features_col: str):
         super().__init__()
-        self.training = training
-        self.blocks = blocks
+        self.points = points
+        self.labels = labels
         self.k = k
         self.features_col = features_col
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        nothing = F.struct(F.array().cast("array<double>").alias("distances"), F.array().cast("array<double>").alias("labels"))
-        found = dataset.withColumn("nearest", nothing)
-        for block in range(self.blocks):
-            update = self._update(block)
-            found = found.withColumn("nearest", update(vector_to_array(self.features_col), "nearest"))
-            if block % 10 == 9:
-                found = materialize(found)
-        # Fewer training rows than k leave unfilled places, which have no vote.
-        labels = F.filter("nearest.labels", lambda x: ~F.isnan(x))
-        # The commonest label, the smallest on ties.
-        counts = F.transform(
-            F.array_distinct(labels),
-            lambda x: F.struct(F.size(F.filter(labels, lambda y: y == x)).alias("n"), (-x).alias("label")),
-        )
-        return found.withColumn("prediction", -F.array_max(counts)["label"]).drop("nearest")
+        shared = dataset.sparkSession.sparkContext.broadcast((self.points, self.labels, self.k))
 
-    def _update(self, block: int):
-        rows = self.training.filter(F.col("block") == block).orderBy("label", "vector").collect()
-        width = len(rows[0]["vector"]) if rows else 0
-        points = np.array([r["vector"] for r in rows]).reshape(len(rows), width)
-        labels = np.array([r["label"] for r in rows])
-        shared = self.training.sparkSession.sparkContext.broadcast((points, labels, self.k))
-
-        @F.pandas_udf(BEST)
-        def update(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        # Everything the tasks need is inside, so executors need no copy of this package.
+        @F.pandas_udf("double")
+        def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             points, labels, k = shared.value
-            for vectors, best in batches:
+            classes, codes = np.unique(labels, return_inverse=True)
+
+            def nearest(queries):
+                distances = np.zeros((len(queries), len(points)))
+                for j in range(points.shape[1]):
+                    distances += (queries[:, j, None] - points[None, :, j]) ** 2
+                # Points are in the order of their labels, so the lower label wins ties.
+                return codes[np.argsort(distances, axis=1, kind="stable")[:, :k]]
+
+            for vectors in batches:
+                if not len(labels):
+                    yield pd.Series([None] * len(vectors), dtype="float64")
+                    continue
                 queries = np.array(vectors.tolist())
-                found_d = padded(best["distances"], k, np.inf)
-                found_l = padded(best["labels"], k, np.nan)
-                distances, nearest = [], []
+                out = []
                 for at in range(0, len(queries), QUERY_ROWS):
-                    rows = slice(at, at + QUERY_ROWS)
-                    d = np.hstack([found_d[rows], squared_distances(queries[rows], points)])
-                    known = np.broadcast_to(labels, (len(d), len(labels)))
-                    order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    distances += list(np.take_along_axis(d, order, axis=1))
-                    nearest += list(np.take_along_axis(np.hstack([found_l[rows], known]), order, axis=1))
-                yield pd.DataFrame({"distances": distances, "labels": nearest})
-
-        return update
-
-
-def padded(lists: pd.Series, k: int, fill: float) -> np.ndarray:
-    out = np.full((len(lists), k), fill)
-    for i, values in enumerate(lists):
-        out[i, : len(values)] = values
-    return out
-
+                    found = nearest(queries[at : at + QUERY_ROWS])
+                    counts = (found[:, :, None] == np.arange(len(classes))).sum(axis=1)
+                    # The commonest label, the smallest on ties.
+                    out.append(classes[counts.argmax(axis=1)])
+                yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-def squared_distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(queries), len(points)))
-    for j in range(points.shape[1]):
-        out += (queries[:, j, None] - points[None, :, j]) ** 2
-    return out
+        return dataset.withColumn("prediction", vote(vector_to_array(self.features_col)))

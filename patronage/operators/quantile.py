@@ -63,4 +63,5 @@ def _order_statistic(values, rank, n, low, high, small):
             rank -= upto + inside + at_high
             n -= upto + inside + at_high
             values = values.filter(F.col("v") > high)
-    return values.agg(F.percentile("v", (rank - 1) / (n - 1) if n > 1 else 0.0)).first()[0]
+    # By its number: interpolation at (rank - 1) / (n - 1) would not always return to the rank.
+    return values.orderBy("v").limit(rank).agg(F.max("v")).first()[0]

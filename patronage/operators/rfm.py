@@ -8,6 +8,8 @@ from ..functions.nulls import known, total
 from .kmeans1d import Problem, fit, fit_mllib
 
 MEASURES = ("Recency", "Frequency", "Monetary")
+# Largest number of clusters whose ranks are broadcast.
+MOST_CLUSTERS = 10_000
 CLUSTERS = ("Recency cluster", "Frequency cluster", "Monetary cluster")
 SCORE, SEGMENT = "RFM Overall Score", "RFM Segment"
 REVENUE = "Total Revenue"
@@ -43,7 +45,8 @@ def rfm(measures: DataFrame, with_revenue: bool = False) -> DataFrame:
         )
     ).scalar()
     months = span["months"]
-    days = F.timestamp_diff("DAY", F.col("MaxPurchaseDate"), span["latest"])
+    # Whole days by the wall clock: a difference of timestamps without zone.
+    days = F.extract(F.lit("DAY"), span["latest"] - F.col("MaxPurchaseDate"))
     return customers(measures).select(
         "customer",
         "MaxPurchaseDate",
@@ -75,15 +78,18 @@ def clustered(frame: DataFrame, clusters: tuple[int, int, int] = (4, 4, 4), meth
 def rank_clusters(df: DataFrame, cluster: str, value: str, descending: bool = False) -> DataFrame:
     """Replace arbitrary cluster labels by 0..k-1 in the order of their mean ``value``.
 
-    For labels that come from elsewhere.  The frame of means has one row per
-    cluster, so numbering it in one task is bounded by the cluster count.
+    For labels that come from elsewhere.  There may be at most MOST_CLUSTERS of
+    them; the frame of their ranks is then broadcast, so the rows stay where
+    they are.
     """
     means = df.filter(known(cluster)).groupBy(cluster).agg(F.avg(value).alias("mean"))
     order = F.col("mean").desc() if descending else F.col("mean").asc()
     ranks = means.select(
         cluster, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order, cluster)) - 1).alias("rank")
     )
-    return df.join(ranks, cluster, "left").drop(cluster).withColumnRenamed("rank", cluster)
+    if means.limit(MOST_CLUSTERS + 1).count() > MOST_CLUSTERS:
+        raise ValueError(f"column {cluster!r} has more than {MOST_CLUSTERS} clusters")
+    return df.join(F.broadcast(ranks), cluster, "left").drop(cluster).withColumnRenamed("rank", cluster)
 
 
 def scored(frame: DataFrame) -> DataFrame:

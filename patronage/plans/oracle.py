@@ -97,6 +97,12 @@ monthly AS (
   LEFT JOIN active p ON p.customer = a.customer AND p.y_m = m.before
   GROUP BY 1)"""
 
+# The months of the orders, of which a view needs one column each.
+_MONTHS = [f"{y % 100:02d}_{m:02d}" for y in range(1995, 2002) for m in range(1, 13) if (y, m) <= (2001, 8)]
+_MONTH_COLUMNS = ", ".join(
+    f"""CAST(max(CASE WHEN a.y_m = '{m}' THEN a.active ELSE 0 END) AS BIGINT) AS "{m}\"""" for m in _MONTHS
+)
+
 
 def _retention(rows: str) -> str:
     return f"""WITH {rows}, {_ACTIVE}
@@ -248,15 +254,15 @@ _FEATURES = [
     *[f"""CASE WHEN customer_segment = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END""" for v in _MARKET_SEGMENTS],
 ]
 _TRAINING = f"""{_SEGMENTED}, training AS (
-  SELECT customer, cluster AS label, {", ".join(f"{e} AS feature_{i}" for i, e in enumerate(_FEATURES))}
+  SELECT customer, customer_segment, cluster AS label, {", ".join(f"{e} AS feature_{i}" for i, e in enumerate(_FEATURES))}
   FROM segment JOIN (SELECT DISTINCT customer, customer_segment FROM rows_) USING (customer)
   JOIN fitted ON name = 'kept' AND id = customer)"""
 _DISTANCE = " + ".join(f"pow(a.feature_{i} - b.feature_{i}, 2)" for i in range(len(_FEATURES)))
 
-# Two folds, dealt out within each label in the order of the customers.
+# Five folds, dealt out within each label in the order of a digest of the customers.
 _FOLDED = f"""{_TRAINING}, folded AS (
-  SELECT *, (row_number() OVER (PARTITION BY label ORDER BY customer) - 1) % 2 AS fold FROM training),
-held AS (SELECT CAST(f AS BIGINT) AS held FROM range(2) t(f))"""
+  SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', customer, customer_segment))) - 1) % 5 AS fold FROM training),
+held AS (SELECT CAST(f AS BIGINT) AS held FROM range(5) t(f))"""
 _LONG = ", ".join(f"feature_{i}" for i in range(len(_FEATURES)))
 
 
@@ -271,8 +277,10 @@ _KNN_PREDICTIONS = f"""near AS (
   SELECT a.fold AS held, a.customer, a.label, b.label AS other,
          row_number() OVER (PARTITION BY a.customer ORDER BY {_DISTANCE}, b.label) AS place
   FROM folded a JOIN folded b ON a.fold <> b.fold),
-votes AS (SELECT held, customer, label, other, count(*) AS n FROM near WHERE place <= 5 GROUP BY ALL),
-predicted AS (SELECT held, customer, label, arg_min(other, (-n, other)) AS prediction FROM votes GROUP BY 1, 2, 3)"""
+votes AS (
+  SELECT k, held, customer, label, other, count(*) AS n
+  FROM near, unnest([5, 10, 15]) t(k) WHERE place <= k GROUP BY ALL),
+predicted AS (SELECT k, held, customer, label, arg_min(other, (-n, other)) AS prediction FROM votes GROUP BY 1, 2, 3, 4)"""
 
 _BAYES_PREDICTIONS = f"""long AS (
   SELECT customer, label, fold, unnest(range({len(_FEATURES)})) AS i, unnest([{_LONG}]) AS v FROM folded),
@@ -395,12 +403,9 @@ SELECT y_m, type, customer_segment, count(DISTINCT customer) AS customer FROM ty
     "new_existing_month_new_percent_events": _new_percent(_EVENTS, "y_m"),
     "new_existing_type_percent_filtered": _type_percent(_orders(f"{_SEGMENTS} AND year(o_orderdate) IN {_in(YEARS)}")),
     "retention_activity": f"WITH {_MAIN}, {_ACTIVE} SELECT y_m, customer, CAST(active AS BIGINT) AS active FROM active",
-    "retention_by_customer": f"""SELECT * FROM (PIVOT (
-  WITH {_MAIN}, {_ACTIVE}, cells AS (
-    SELECT c.customer, m.y_m, CAST(coalesce(a.active, 0) AS BIGINT) AS active
-    FROM (SELECT DISTINCT customer FROM rows_) c CROSS JOIN months m
-    LEFT JOIN active a ON a.customer = c.customer AND a.y_m = m.y_m)
-  SELECT * FROM cells) ON y_m USING max(active) GROUP BY customer)""",
+    "retention_by_customer": f"""WITH {_MAIN}, {_ACTIVE}
+SELECT c.customer, {_MONTH_COLUMNS}
+FROM (SELECT DISTINCT customer FROM rows_) c LEFT JOIN active a ON a.customer = c.customer GROUP BY c.customer""",
     "retention_by_month": _retention(_MAIN),
     "retention_by_month_long": f"""WITH {_MAIN}, {_ACTIVE}
 SELECT y_m, 'Total unique customer' AS type, total AS count FROM monthly
@@ -463,7 +468,12 @@ FROM sizes, range(5) f(fold)""",
   FROM training a, training b),
 votes AS (SELECT customer, label, count(*) AS n FROM near WHERE place <= 5 GROUP BY 1, 2)
 SELECT customer, CAST(arg_min(label, (-n, label)) AS BIGINT) AS prediction FROM votes GROUP BY 1""",
-    "ltv_scores_knn": _scores("knn", "{''n_neighbors'': 5}", _KNN_PREDICTIONS),
+    "ltv_scores_knn": f"""{_FOLDED}, {_KNN_PREDICTIONS},
+accuracies AS (
+  SELECT k, held, avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy FROM predicted GROUP BY 1, 2),
+points AS (SELECT k, avg(accuracy) AS score FROM accuracies GROUP BY 1)
+SELECT 'knn' AS model, round(score, 6) AS best_score, '{{''n_neighbors'': ' || k || '}}' AS best_params
+FROM points ORDER BY round(score, 12) DESC, k LIMIT 1""",
     "ltv_scores_naive_bayes": _scores("naive_bayes", "{}", _BAYES_PREDICTIONS),
     "suite_result_sizes": f"WITH {_MAIN}, {_TYPED}\n"
     + "\nUNION ALL ".join(

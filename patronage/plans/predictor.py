@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import ltv
-from ..operators.materialize import materialize
+from ..operators.materialize import materialize, release
 from ..operators.models import DEFAULT_GRIDS, MODERN, Score, Shape, search
 from ..operators.rfm import REVENUE
 from .reports import RFMSegmentation
@@ -30,6 +30,7 @@ class LifetimeValuePredictor:
         self.preprocessor: PipelineModel | None = None
         self.pipeline: PipelineModel | None = None
         self.ltv_cluster_info: DataFrame | None = None
+        self._labelled: DataFrame | None = None
 
     @cached_property
     def frame(self) -> DataFrame:
@@ -62,6 +63,7 @@ class LifetimeValuePredictor:
             grids = {name: DEFAULT_GRIDS[name] for name in names}
         data, shape = self.training_data(revenue_clusters, remove_outlier_quantile, cv, seed)
         self.scores = search(data, grids, shape, cv, parallelism)
+        release(data)
         self.best = max(self.scores, key=lambda s: s.best_score)
         self.pipeline = PipelineModel(stages=[self.preprocessor, self.best.best_estimator])
         return self.scores
@@ -75,7 +77,8 @@ class LifetimeValuePredictor:
         Preprocessing is fitted once, on all of it, before any fold is held out.
         """
         kept = ltv.trim_outliers(self.frame, remove_outlier_quantile)
-        labelled = materialize(ltv.with_ltv_cluster(kept, revenue_clusters))
+        release(self._labelled)
+        self._labelled = labelled = materialize(ltv.with_ltv_cluster(kept, revenue_clusters))
         self.ltv_cluster_info = ltv.ltv_cluster_info(labelled)
         numeric, categorical = ltv.feature_columns(labelled, self.include_customer_id)
         if ltv.missing_values(labelled, numeric + categorical):
@@ -112,6 +115,17 @@ class LifetimeValuePredictor:
         scored = self.pipeline.transform(frame)
         return scored.select("customer", F.col("prediction").cast("int").alias(ltv.PREDICTED))
 
+    def close(self) -> None:
+        """Free the frames this predictor holds; ``frame`` is computed anew if asked for."""
+        release(self._labelled, self.__dict__.pop("frame", None))
+        self._labelled = self.ltv_cluster_info = None
+
+    def __enter__(self) -> "LifetimeValuePredictor":
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
+
     def _need_fit(self):
         if self.scores is None:
             raise RuntimeError("run choose_best_predictor first")

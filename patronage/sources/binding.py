@@ -134,11 +134,10 @@ class Base:
         if self._segments is None or self._broadcast_segments:
             return _reduce(self.facts, "customer", "customer_segment", "ym")
         # The segment hangs on the customer alone, so joining after the
-        # reduction gives the same rows and shuffles far fewer of them.
+        # reduction gives the same sums and shuffles far fewer rows.
         reduced = _reduce(self._as_measures(self._source), "customer", "ym")
-        return self._with_segment(reduced).select(
-            "customer", "customer_segment", "ym", "sale", "first_date", "last_date", "n_dates"
-        )
+        # A pair that the segment table repeats counts as often as it is there.
+        return _reduce(self._with_segment(reduced), "customer", "customer_segment", "ym")
 
     @property
     def measures(self) -> DataFrame:

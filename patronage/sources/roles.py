@@ -56,9 +56,9 @@ class Sale:
 class Dates:
     """The date, its text format, and the calendar parts to keep.
 
-    ``validate`` scans a text column once at bind time and raises ValueError
-    for text that does not parse.  Without it the same error surfaces when the
-    first metric runs, which saves a pass over a very large table.
+    Text that does not parse raises an error when the first metric runs,
+    whatever the session's ANSI setting.  With ``validate`` a text column is
+    scanned once at bind time, and the error is a ValueError raised there.
     """
 
     column: str
@@ -66,7 +66,7 @@ class Dates:
     years: list = field(default_factory=list)
     months: list = field(default_factory=list)
     days: list = field(default_factory=list)
-    validate: bool = True
+    validate: bool = False
 
     def __post_init__(self):
         for name in ("years", "months", "days"):
@@ -88,7 +88,9 @@ class Dates:
             bad = col.isNotNull() & F.try_to_timestamp(col, F.lit(pattern)).isNull()
             if not df.select(self.column).filter(bad).isEmpty():
                 raise ValueError(f"column {self.column!r} has dates not in format {self.format!r}")
-        parsed = F.to_timestamp_ntz(col, F.lit(pattern))
+        message = F.concat(F.lit(f"column {self.column!r} has a date not in format {self.format!r}: "), col)
+        read = F.try_to_timestamp(col, F.lit(pattern)).cast("timestamp_ntz")
+        parsed = F.when(col.isNotNull() & read.isNull(), F.raise_error(message).cast("timestamp_ntz")).otherwise(read)
         return pivot_two_digit_year(parsed) if "%y" in self.format else parsed
 
     def part_filter(self, date: Column) -> Column | None:
