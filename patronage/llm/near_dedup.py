@@ -38,6 +38,8 @@ SCALE_BASE, RATE = 1.02, 20.0
 # Six standard errors of an estimate from REGISTERS values at 0.8.
 MARGIN = 0.15
 WINDOW_WORDS, PERCENT = 2, 80
+# Turns of comparing outsiders of a bucket with random members of its largest component.
+TURNS = 2
 
 
 def document_sets(data, offs, hasher, k):
@@ -224,16 +226,40 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     judged = judged.unionByName(written(confirmed(second, sides, k, percent), "near-judged"))
     label = components(nodes, judged.where("linked"))
 
+    def mixed_buckets() -> tuple[DataFrame, DataFrame]:
+        """The members of buckets that hold several components, and those outside their bucket's largest."""
+        placed = members.select("bucket", "id", "n").join(label, "id")
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        placed = written(placed.join(mixed.select("bucket"), "bucket"), "near-placed")
+        sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+        main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("main")).select("bucket", F.col("main.component").alias("main"))
+        placed = written(placed.join(main, "bucket"), "near-placed")
+        others = placed.where("component <> main").select(
+            "bucket", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component")
+        )
+        return placed, written(others, "near-others")
+
+    near_size = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
+
+    # Then those outside the largest component of a bucket with random members of it, one in each bucket.
+    for turn in range(TURNS):
+        placed, others = mixed_buckets()
+        if others.isEmpty():
+            break
+        order = F.xxhash64("id", "bucket", F.lit(turn))
+        insiders = placed.where("component = main")
+        drawn = insiders.groupBy("bucket").agg(F.min(order).alias("drawn"))
+        drawn = insiders.withColumn("drawn", order).join(drawn, ["bucket", "drawn"]).select("bucket", "id", "n")
+        tried = others.join(drawn, "bucket").where(near_size).select(*pair("id", "other")).distinct()
+        tried = written(tried.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
+        found = written(confirmed(tried, sides, k, percent), "near-judged")
+        judged = judged.unionByName(found)
+        if not found.where("linked").isEmpty():
+            label = components(nodes, judged.where("linked"))
+
     # At last all members of a bucket that are still in different components.
-    placed = members.select("bucket", "id", "n").join(label, "id")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    placed = written(placed.join(mixed.select("bucket"), "bucket"), "near-placed")
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("main")).select("bucket", F.col("main.component").alias("main"))
-    others = placed.join(main, "bucket").where("component <> main").select("bucket", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
-    others = written(others, "near-others")
-    third = placed.join(others, "bucket").where("component <> other_component")
-    third = third.where(F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent)
+    placed, others = mixed_buckets()
+    third = placed.join(others, "bucket").where("component <> other_component").where(near_size)
     third = third.select(*pair("id", "other")).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
     last = written(confirmed(written(third, "near-pairs"), sides, k, percent), "near-judged")
     if not last.where("linked").isEmpty():
