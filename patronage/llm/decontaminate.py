@@ -153,7 +153,7 @@ class Matcher:
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about ``limit`` characters, one block on the driver at a time."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), whole_text(text_col).alias("text"))
-    items = items.where("item is not null and text <> ''")
+    items = items.where("item is not null and text <> ''").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / limit))
     for b in range(blocks):

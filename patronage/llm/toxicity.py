@@ -271,11 +271,10 @@ def fit(
     def top(df: DataFrame, *keys: str) -> dict[str, np.ndarray]:
         return collected(df.orderBy(F.desc(F.col("n0") + F.col("n1")), *keys).limit(limit))
 
-    by_word = bigrams.groupBy("label", "word").agg(F.count("*").alias("types"), F.sum("n").alias("n"))
-    as_word = top(by_class(["word"], by_word, types=F.col("types"), n=F.col("n")).where("n0 + n1 >= 2"), "word")
+    as_word = top(by_class(["word"], bigrams, n=F.col("n")).where("n0 + n1 >= 2"), "word")
     as_left = top(by_class(["left"], bigrams, n=F.col("n")).where("n0 + n1 >= 2 or left = 0"), "left")
     as_pair = top(by_class(["left", "word"], bigrams, n=F.col("n")).where("n0 + n1 >= 2"), "left", "word")
-    totals = collected(by_class([], by_word, types=F.col("types")))
+    totals = collected(by_class([], bigrams, n=F.col("n")))
     bigrams.unpersist()
 
     words = as_word["word"].view(np.uint64)
@@ -314,10 +313,10 @@ def tables(ratio: float, discount: float, as_word: dict, as_left: dict, as_pair:
     counts = [as_pair[f"n{c}"][usable] for c in (0, 1)]
     lefts = [np.maximum(as_left[f"n{c}"], 1) for c in (0, 1)]
     for c in (0, 1):
-        types = float(totals[f"types{c}"][0]) or 1.0
-        kept = np.maximum(as_word[f"types{c}"] - ratio * types * backoff - discount, 0)
-        spread = max(1 - kept.sum() / types, 1e-9)
-        p_word = kept / types + spread * backoff
+        total = float(totals[f"n{c}"][0]) or 1.0
+        kept = np.maximum(as_word[f"n{c}"] - ratio * total * backoff - discount, 0)
+        spread = max(1 - kept.sum() / total, 1e-9)
+        p_word = kept / total + spread * backoff
         explained = lefts[c][at] * (counts[1 - c] + DOUBT) / (as_left[f"n{1 - c}"][at] + DOUBT)
         own = np.maximum(counts[c] - ratio * explained - discount, 0)
         weight = np.maximum(1 - np.bincount(at, own, len(lefts[c])) / lefts[c], 1e-9)
