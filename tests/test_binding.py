@@ -144,16 +144,29 @@ def test_text_dates(spark, fmt, text, expected):
     assert text_base(spark, [text], fmt).rows.first().date == day(expected)
 
 
-def test_bad_text_date_is_refused_at_bind_time(spark):
+def test_bad_text_date_is_refused_at_bind_time_if_asked(spark):
     with pytest.raises(ValueError):
-        text_base(spark, ["01-02-2020", "xx"], "%m-%d-%Y")
-    assert text_base(spark, ["01-02-2020", None], "%m-%d-%Y").rows.count() == 2
-
-
-def test_unvalidated_text_date_fails_when_used(spark):
-    base = text_base(spark, ["xx"], "%m-%d-%Y", validate=False)
-    with pytest.raises(Exception):
-        base.rows.collect()
+        text_base(spark, ["01-02-2020", "xx"], "%m-%d-%Y", validate=True)
+    assert text_base(spark, ["01-02-2020", None], "%m-%d-%Y", validate=True).rows.count() == 2
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_bad_text_date_fails_when_used(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="has a date not in format"):
+            text_base(spark, ["xx"], "%m-%d-%Y").rows.collect()
+        assert text_base(spark, ["01-02-2020", None], "%m-%d-%Y").rows.count() == 2
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_repeated_segment_pair_gives_one_activity_row_in_both_joins(spark):
+    facts = [("a", 1.0, "2020-01-01"), ("a", 2.0, "2020-01-09")]
+    for broadcast_bytes in (0, 1 << 20):
+        base = segment_table_base(spark, facts, [("a", "x"), ("a", "x")], broadcast_bytes)
+        assert records(base.activity, "customer", "customer_segment", "sale", "n_dates") == [("a", "x", 6.0, 4)]
 
 
 def test_unknown_directive_is_refused():

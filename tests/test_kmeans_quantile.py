@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patronage.operators.kmeans1d import Problem, coarse_edges, fit, fit_mllib, optimal_means, split_edges
-from patronage.operators.quantile import exact_quantile
+from patronage.operators.quantile import _order_statistic, exact_quantile
 
 
 def best_inertia(values, k):
@@ -132,5 +132,15 @@ def test_large_quantile_beyond_the_accuracy_of_the_sketch(spark):
 
 def test_quantile_edges(spark):
     assert exact_quantile(column(spark, [None]), "v", 0.5) is None
+
+
+def test_order_statistic_is_a_value_of_the_column(spark):
+    values = [i / 7 for i in range(1, 50)]
+    df = column(spark, values).selectExpr("cast(v as double) as v")
+    for rank in (8, 24, 30, 42):
+        assert _order_statistic(df, rank, 49, values[0], values[-1], 1000) == values[rank - 1]
+
+
+def test_quantile_out_of_range(spark):
     with pytest.raises(ValueError):
         exact_quantile(column(spark, [1]), "v", 1.5)

@@ -92,31 +92,48 @@ def test_text_with_quotes_as_fill(spark):
     assert [r[0] for r in got] == [[1.0]] * 3
 
 
-def test_folds_are_even_within_labels(spark, monkeypatch):
+def test_folds_are_even_within_labels(spark):
     df = spark.range(103).select(
         F.col("id").cast("string").alias("customer"), F.lit("x").alias("customer_segment"), (F.col("id") % 10 == 0).cast("int").alias("LTV Cluster")
     )
-    for rows in (100_000, 7):
-        monkeypatch.setattr(ltv, "FOLD_ROWS", rows)
-        folded = ltv.with_folds(df, 5)
+    answers = set()
+    for parts in (1, 7):
+        folded = ltv.with_folds(df.repartition(parts), 5)
+        answers.add(tuple(records(folded, "customer", "fold")))
         assert folded.count() == 103 and set(folded.columns) == {*df.columns, "fold"}
         sizes = {}
         for label, fold, n in folded.groupBy("LTV Cluster", "fold").count().collect():
             sizes.setdefault(label, []).append(n)
         for counts in sizes.values():
             assert len(counts) == 5 and max(counts) - min(counts) <= 1
+    assert len(answers) == 1
+
+
+def test_wide_text_is_no_category(spark):
+    df = spark.range(30).select(F.col("id").cast("string").alias("name"))
+    with pytest.raises(ValueError, match="different texts"):
+        ltv.refuse_wide(df, ["name"], most=20)
+    ltv.refuse_wide(df, ["name"], most=30)
+
+
+def test_nearest_neighbours_break_ties_by_label_and_bound_their_rows(spark):
+    train = spark.createDataFrame([(Vectors.dense([1.0]), float(i % 2)) for i in range(400)], ["features", "label"])
+    for parts in (1, 6):
+        model = NearestNeighbors(k=50).fit(train.repartition(parts))
+        assert model.transform(train.limit(3)).select("prediction").distinct().collect()[0][0] == 0.0
+    with pytest.warns(UserWarning, match="fitted on 100"):
+        small = NearestNeighbors(k=5, max_training_rows=100).fit(train)
+    assert len(small.labels) == 100
 
 
-@pytest.mark.parametrize("block_rows", [1000, 11])
 @pytest.mark.parametrize("k", [1, 5, 200])
-def test_nearest_neighbours_against_brute_force(spark, block_rows, k):
+def test_nearest_neighbours_against_brute_force(spark, k):
     rng = np.random.default_rng(4)
     points, labels = rng.normal(size=(60, 3)), rng.integers(0, 3, size=60)
     queries = rng.normal(size=(25, 3))
     train = spark.createDataFrame([(Vectors.dense(p), float(c)) for p, c in zip(points, labels)], ["features", "label"])
     test = spark.createDataFrame([(i, Vectors.dense(q)) for i, q in enumerate(queries)], ["i", "features"])
-    model = NearestNeighbors(k=k, block_rows=block_rows).fit(train)
-    assert (model.blocks > 10) == (block_rows == 11)
+    model = NearestNeighbors(k=k).fit(train)
     got = dict(records(model.transform(test), "i", "prediction"))
     for i, q in enumerate(queries):
         near = labels[np.argsort(((points - q) ** 2).sum(axis=1))[:k]]

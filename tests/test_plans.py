@@ -140,9 +140,20 @@ def test_checkpoint_folder_of_the_cluster_is_used(session, ready, folder):
     assert session.folder == folder
 
 
-def test_local_session_gets_a_checkpoint_folder(spark):
-    assert checkpoint_dir_ready(spark)
-    assert spark.sparkContext.getCheckpointDir() is not None
+def test_no_folder_of_its_own_in_a_local_session():
+    session = FakeSession("local[2]")
+    assert not checkpoint_dir_ready(session) and session.folder is None
+
+
+def test_cluster_ranks_leave_the_rows_where_they_are(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(100).selectExpr("id % 4 as c", "cast(id as double) as v")
+        plan = physical(rfm.rank_clusters(df, "c", "v"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 def test_registered_queries_have_sql_or_train_models():
@@ -150,20 +161,20 @@ def test_registered_queries_have_sql_or_train_models():
 
     queries, sql = registry.queries(), registry.oracle_sql()
     assert set(sql) <= set(queries)
-    assert all(name.startswith("ltv_") for name in set(queries) - set(sql))
+    assert all(name.startswith(("ltv_", "op")) or name == "pipeline" for name in set(queries) - set(sql))
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
 @pytest.mark.parametrize(
     "name",
-    ["growth_segment_monthly_revenue", "new_existing_rows", "retention_by_month", "cohort_by_retention_pct", "rfm_segment", "ltv_cluster_hint"],
+    ["growth_segment_monthly_revenue", "new_existing_rows", "retention_by_customer", "cohort_by_retention_pct", "rfm_segment", "ltv_cluster_hint"],
 )
 def test_queries_equal_their_sql(spark, name):
     pytest.importorskip("duckdb")
-    from tools.check_oracle import connect, differences
+    from tools.check_oracle import checked, connect, differences
 
     import __spark_entry__ as registry
 
     sf_dir = "/root/testdata/sf0.001"
     got = registry.queries()[name](spark, sf_dir).toPandas()
-    assert differences(got, connect(sf_dir).execute(registry.oracle_sql()[name]).df()) is None
+    assert differences(got, checked(connect(sf_dir), registry.oracle_sql()[name])) is None

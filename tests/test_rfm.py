@@ -93,6 +93,17 @@ def test_segment_thresholds(spark, scores, expected):
     assert [r[1] for r in rfm.segmented(frame).orderBy(rfm.SCORE).collect()] == expected
 
 
+def test_recency_is_by_the_wall_clock_in_any_zone(spark, make_base):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        base = make_base([("a", "x", 1.0, "2020-03-08 02:30"), ("b", "x", 1.0, "2020-03-09 02:45"), ("c", "x", 1.0, "2020-03-07 03:00")])
+        got = records(rfm.rfm(base.measures), "customer", "Recency")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [("a", 1.0), ("b", 0.0), ("c", 1.0)]
+
+
 def test_rank_clusters(spark):
     df = spark.createDataFrame([("p", 1.0), ("p", 3.0), ("q", 9.0), ("r", 0.0), ("s", 9.0), (None, 5.0)], "c string, v double")
     up = records(rfm.rank_clusters(df, "c", "v"), "v", "c")
