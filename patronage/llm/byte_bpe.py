@@ -19,7 +19,10 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import sys
+import types
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import public_tokenizers
@@ -29,7 +32,7 @@ from .common import small_batches, table, whole_text
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Bounds of the memo tables of a task; a full table is begun anew.
-STATES, WORDS = 1 << 16, 1 << 18
+STATES, PAIRS, WORDS = 1 << 17, 1 << 19, 1 << 19
 CHUNK = 1 << 20
 
 
@@ -38,12 +41,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The encoding by definition: merge the pair of lowest rank, leftmost first, until none is left."""
+def merged(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 60) -> list[int]:
+    """The encoding by definition: merge the pair of lowest rank, leftmost first, until none is left (``below`` a rank)."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     while len(parts) > 1:
         best = min(range(len(parts) - 1), key=lambda i: (ranks.get(parts[i] + parts[i + 1], 1 << 60), i))
-        if parts[best] + parts[best + 1] not in ranks:
+        if ranks.get(parts[best] + parts[best + 1], 1 << 60) >= below:
             break
         parts[best : best + 2] = [parts[best] + parts[best + 1]]
     return [ranks[p] for p in parts]
@@ -52,7 +55,8 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Transducer:
     """Deterministic states over bytes, made on demand.
 
-    A guess is (trie node, last token, tokens owed); a state is a set of them.
+    A guess is (bytes of the open token, last token, tokens owed), a state is
+    the tuple of its guesses, the oldest first.
     """
 
     START = ((b"", -1, ()),)
@@ -61,7 +65,9 @@ class Transducer:
         self.ranks = ranks
         self.token_bytes = {i: b for b, i in ranks.items()}
         self.prefixes = {b[:n] for b in ranks for n in range(1, len(b))}
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.alone: dict[int, bool] = {}
+        self.follows: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -70,44 +76,91 @@ class Transducer:
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
 
+    def split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; None for a single byte."""
+        if token not in self.halves:
+            data = self.token_bytes[token]
+            parts = merged(data, self.ranks, token) if len(data) > 1 else []
+            self.halves[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self.halves[token]
+
+    def stands(self, token: int) -> bool:
+        """Whether the token is the encoding of its own bytes."""
+        known = self.alone.get(token)
+        if known is None:
+            known = self.alone[token] = merged(self.token_bytes[token], self.ranks) == [token]
+        return known
+
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        """Whether the encoding of the bytes of both is just the two.
+
+        It is, unless at some time in their making a merge across the border
+        comes first.  The tokens on either side of the border are followed back
+        to the single bytes, undoing the later merge first; of equal ranks the
+        left one is the earlier.
+        """
+        key = left << 32 | right
         known = self.follows.get(key)
         if known is None:
-            if len(self.follows) >= STATES:
+            if len(self.follows) >= PAIRS:
                 self.follows.clear()
-            pair = [right] if left < 0 else [left, right]
-            known = merged(b"".join(self.token_bytes[t] for t in pair), self.ranks) == pair
-            self.follows[key] = known
+            known = self.follows[key] = self.stands(right) if left < 0 else self.stands(left) and self.stands(right) and self.border(left, right)
         return known
 
+    def border(self, left: int, right: int) -> bool:
+        ranks, token_bytes = self.ranks, self.token_bytes
+        # A merge across counts if it comes before the merge that was undone last.
+        before, undone_left = 1 << 60, False
+        while True:
+            across = ranks.get(token_bytes[left] + token_bytes[right])
+            if across is not None and (across < before or across == before and not undone_left):
+                return False
+            a, b = self.split(left), self.split(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and left > right:
+                before, undone_left, left = left, True, a[1]
+            else:
+                before, undone_left, right = right, False, b[0]
+
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The next state and the tokens that are now certain."""
         known = self.steps.get(state << 8 | byte)
         if known is None:
-            known = self.steps[state << 8 | byte] = self.make_step(state, bytes([byte]))
+            known = self.steps[state << 8 | byte] = self.make_step(state, byte)
         return known
 
-    def make_step(self, state: int, byte: bytes) -> tuple[int, tuple[int, ...]]:
+    def make_step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         guesses = []
+        prefixes, token_at, follows = self.prefixes, self.ranks.get, self.follows.get
+        byte = bytes((byte,))
         for node, last, owed in self.states[state]:
             longer = node + byte
-            if longer in self.prefixes:
+            if longer in prefixes:
                 guesses.append((longer, last, owed))
-            token = self.ranks.get(longer)
-            if token is not None and self.compatible(last, token):
-                guesses.append((b"", token, owed + (token,)))
+            token = token_at(longer)
+            if token is not None:
+                fits = follows(last << 32 | token)
+                if fits or fits is None and self.compatible(last, token):
+                    guesses.append((b"", token, owed + (token,)))
+        first = guesses[0][2]
         agreed = 0
-        shortest = min(len(owed) for _, _, owed in guesses)
-        while agreed < shortest and len({owed[agreed] for _, _, owed in guesses}) == 1:
-            agreed += 1
-        emitted = guesses[0][2][:agreed]
-        target = tuple(sorted((node, last, owed[agreed:]) for node, last, owed in guesses))
+        for token in first:
+            for guess in guesses:
+                if len(guess[2]) <= agreed or guess[2][agreed] != token:
+                    break
+            else:
+                agreed += 1
+                continue
+            break
+        if agreed:
+            guesses = [(node, last, owed[agreed:]) for node, last, owed in guesses]
+        target = tuple(guesses)
         number = self.numbers.get(target)
         if number is None:
             number = self.numbers[target] = len(self.states)
             self.states.append(target)
-        return number, emitted
+        return number, first[:agreed]
 
     def end(self, state: int) -> tuple[int, ...]:
         """The tokens owed by the one guess that ends here."""
@@ -132,6 +185,28 @@ class Transducer:
         return out
 
 
+class Words(dict):
+    """Encodings of the pattern's matches, made when first asked for."""
+
+    def __init__(self, transducer: Transducer):
+        self.transducer = transducer
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = tuple(self.transducer.encode(word.encode("utf-8", "surrogatepass")))
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
+def encoder_of(path: str, pattern: str) -> Encoder:
+    """An encoder that lasts as long as the worker process, whose tasks share what it has made."""
+    held = sys.modules.setdefault("patronage_encoders", types.ModuleType("patronage_encoders"))
+    key = f"{path}\n{pattern}"
+    if not hasattr(held, key):
+        setattr(held, key, Encoder(path, pattern))
+    return getattr(held, key)
+
+
 class Encoder:
     """Splits text by the pattern and encodes each match; remembers the matches it has seen."""
 
@@ -141,23 +216,14 @@ class Encoder:
         self.ranks = read_ranks(path)
         self.transducer = Transducer(self.ranks)
         self.matches = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Words(self.transducer)
 
     def encode(self, text: str) -> Iterator[list[int]]:
         """The ids of successive pieces of the text."""
-        known = self.known
         for piece in pieces(text):
-            out: list[int] = []
-            for word in self.matches(piece):
-                ids = known.get(word)
-                if ids is None:
-                    if len(known) >= WORDS:
-                        known.clear()
-                    ids = tuple(self.transducer.encode(word.encode("utf-8", "surrogatepass")))
-                    if len(word) <= 64:
-                        known[word] = ids
-                out += ids
-            yield out
+            if len(self.known) >= WORDS:
+                self.known.clear()
+            yield list(chain.from_iterable(map(self.known.__getitem__, self.matches(piece))))
 
 
 def pieces(text: str, size: int = CHUNK) -> Iterator[str]:
@@ -209,7 +275,7 @@ def token_ids(text: Column, path: str | None = None, pattern: str = public_token
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(path, pattern)
+        encoder = encoder_of(path, pattern)
         for column in columns:
             yield pa.array([[i for part in encoder.encode(t.as_py() or "") for i in part] for t in column], pa.list_(pa.int32()))
 
@@ -245,7 +311,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     path = path or public_tokenizers.path(VOCABULARY)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, pattern)
+        encoder = encoder_of(path, pattern)
         token_bytes = encoder.transducer.token_bytes
         numbers = {i: str(i) for i in token_bytes}
         for batch in batches:
