@@ -45,6 +45,8 @@ MODERN = ("random_forest", "boosted_trees", "mlp")
 
 # Spark's limit; trees here otherwise grow until their leaves are pure.
 FOREST_DEPTH = 30
+# Candidate thresholds of a feature; a grid point may give its own ``max_bins``.
+MAX_BINS = 1024
 
 
 @dataclass(frozen=True)
@@ -80,7 +82,9 @@ def _svc(p, shape):
 
 
 def _decision_tree(p, shape):
-    return DecisionTreeClassifier(impurity=p["criterion"], maxDepth=p["max_depth"], seed=shape.seed)
+    return DecisionTreeClassifier(
+        impurity=p["criterion"], maxDepth=p["max_depth"], maxBins=p.get("max_bins", MAX_BINS), seed=shape.seed
+    )
 
 
 def _random_forest(p, shape):
@@ -88,6 +92,7 @@ def _random_forest(p, shape):
         numTrees=p["n_estimators"],
         impurity=p["criterion"],
         maxDepth=p.get("max_depth", FOREST_DEPTH),
+        maxBins=p.get("max_bins", MAX_BINS),
         seed=shape.seed,
     )
 
@@ -95,7 +100,11 @@ def _random_forest(p, shape):
 def _boosted_trees(p, shape):
     return OneVsRest(
         classifier=GBTClassifier(
-            stepSize=p["learning_rate"], maxIter=p["n_estimators"], maxDepth=p["max_depth"], seed=shape.seed
+            stepSize=p["learning_rate"],
+            maxIter=p["n_estimators"],
+            maxDepth=p["max_depth"],
+            maxBins=p.get("max_bins", MAX_BINS),
+            seed=shape.seed,
         )
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.calendar import LONG_MONTH
 from ..operators import basic, cohort, growth, ltv, new_existing, retention, rfm
 from ..operators.materialize import materialize
-from ..operators.models import DEFAULT_GRIDS
+from ..operators.models import DEFAULT_GRIDS, search
 from ..operators.nearest import NearestNeighbors
 from ..sources import Dates, Entity, Sale, bind
 from ..sources.binding import calendar_values, row_count
@@ -427,9 +427,32 @@ def _predictor(spark, sf, families):
     return predictor
 
 
+# Families whose scores SQL can compute.
+SCORED_BY_SQL = ("knn", "naive_bayes")
+
+
 def _scores(family):
+    """The predictor's scores; of families that train by iteration, what can be said of them without their model."""
+
     def query(spark, sf):
-        return comparable(_predictor(spark, sf, [family]).predictor_scores)
+        if family in SCORED_BY_SQL:
+            return comparable(_predictor(spark, sf, [family]).predictor_scores)
+        predictor = LifetimeValuePredictor(RFMSegmentation(orders_base(spark, sf)))
+        data, shape = predictor.training_data(cv=5)
+        best = search(data, {family: SEARCH_GRIDS[family]}, shape, 5)[0]
+        counts = data.groupBy("label").agg(F.count("*").alias("n"))
+        total, largest = F.sum("n"), F.max("n")
+        return comparable(
+            counts.agg(
+                F.lit(family).alias("model"),
+                total.alias("customers"),
+                F.count("*").alias("classes"),
+                F.lit(len(SEARCH_GRIDS[family])).alias("points"),
+                F.lit(5).alias("folds"),
+                (largest / total).alias("majority_share"),
+                (F.lit(best.best_score) > largest / total).alias("beats_majority"),
+            )
+        )
 
     query.__name__ = f"ltv_scores_{family}"
     return query

