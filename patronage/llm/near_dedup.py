@@ -188,10 +188,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = found.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     nodes = written(nodes, "near-nodes")
     # (bucket, id): the hash of each band's registers, with the number of the band.
-    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    rows = nodes.select("id", "n", "registers", band)
-    bucket = F.xxhash64(F.expr(f"substring(registers, band * {2 * ROWS} + 1, {2 * ROWS})"), "band")
-    rows = rows.select(bucket.alias("bucket"), "id", "n")
+    bucket_of = lambda i: F.xxhash64(F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS)), i)
+    buckets = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), bucket_of)
+    rows = nodes.select("id", "n", F.explode(buckets).alias("bucket"))
     # Leaders are random but the same in all buckets, so a group mostly meets one.
     leaders = rows.groupBy("bucket").agg(F.min(F.xxhash64("id")).alias("first"), F.count("*").alias("size")).where("size > 1")
     leaders = written(leaders.select("bucket", "first"), "near-leaders")
@@ -259,7 +258,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # At last all members of a bucket that are still in different components.
     placed, others = mixed_buckets()
-    third = placed.join(others, "bucket").where("component <> other_component").where(near_size)
+    # A pair counts in the first bucket that it shares, which also has the two in different components.
+    own = nodes.select("id", buckets.alias("own"))
+    placed = placed.select("bucket", "id", "n", "component").join(own, "id")
+    others = others.join(own.select(F.col("id").alias("other"), F.col("own").alias("other_own")), "other")
+    first_shared = F.get(F.filter("own", lambda x, i: x == F.get("other_own", i)), F.lit(0)) == F.col("bucket")
+    third = placed.join(others, "bucket").where("component <> other_component").where(near_size & first_shared)
     third = third.select(*pair("id", "other")).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
     last = written(confirmed(written(third, "near-pairs"), sides, k, percent), "near-judged")
     if not last.where("linked").isEmpty():
