@@ -75,18 +75,24 @@ def derived_pairs(conversations: DataFrame) -> DataFrame:
 
     The table holds no preferences.  Chosen is a conversation as it is; rejected
     is the same up to its last assistant turn, which gets the text of the last
-    assistant turn of the conversation whose id is larger by one.
+    assistant turn of the conversation whose id is larger by one.  Where that
+    conversation is missing or has no assistant turn, the text is empty.  A
+    conversation without assistant turn is both sides, so its completions are
+    empty.  Every conversation with an id gives a pair.
     """
     turns = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null")
     replies = turns.where(F.col("role") == TRAINED_ROLE)
     last = replies.groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("l"))
     last = last.select("conv_id", F.col("l.turn").alias("last_turn"), F.col("l.text").alias("last_text"))
     foreign = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last_text").alias("foreign_text"))
-    ends = last.select("conv_id", "last_turn").join(foreign, "conv_id")
-    both = turns.join(ends, "conv_id")
+    ends = last.select("conv_id", "last_turn", F.lit(True).alias("replied")).join(foreign, "conv_id", "left")
+    both = turns.join(ends, "conv_id", "left")
     chosen = both.select("conv_id", F.lit("chosen").alias("side"), "turn", "role", "text")
-    swapped = F.when((F.col("turn") == F.col("last_turn")) & (F.col("role") == TRAINED_ROLE), F.col("foreign_text")).otherwise(F.col("text"))
-    rejected = both.where("turn <= last_turn").select("conv_id", F.lit("rejected").alias("side"), "turn", "role", swapped.alias("text"))
+    reply = F.col("turn").eqNullSafe(F.col("last_turn")) & (F.col("role") == TRAINED_ROLE)
+    swapped = F.when(reply, F.coalesce("foreign_text", F.lit(""))).otherwise(F.col("text"))
+    # Replies whose turns are all null end at null turns.
+    kept = both.where("replied is null or turn <= last_turn or (turn is null and last_turn is null)")
+    rejected = kept.select("conv_id", F.lit("rejected").alias("side"), "turn", "role", swapped.alias("text"))
     return chosen.unionByName(rejected).withColumnRenamed("conv_id", "pair_id")
 
 
