@@ -9,6 +9,7 @@ from patronage.operators import ltv
 from patronage.operators.models import DEFAULT_GRIDS, ESTIMATORS, MODERN, Shape, search
 from patronage.operators.nearest import NearestNeighbors
 from patronage.operators.rfm import REVENUE
+from patronage.plans.catalog import SEARCH_GRIDS
 
 from conftest import records
 
@@ -163,6 +164,13 @@ FAST_GRIDS = {
 }
 
 
+def test_registered_searches_shrink_no_model():
+    whole = ("logistic_regression", "knn", "naive_bayes", "svc", "decision_tree")
+    assert {f: SEARCH_GRIDS[f] for f in whole} == {f: DEFAULT_GRIDS[f] for f in whole}
+    assert set(SEARCH_GRIDS) == set(DEFAULT_GRIDS)
+    assert all(grid and all(point in DEFAULT_GRIDS[f] for point in grid) for f, grid in SEARCH_GRIDS.items())
+
+
 def test_search_and_prediction(segmentation, make_base):
     predictor = LifetimeValuePredictor(segmentation)
     with pytest.raises(RuntimeError):
