@@ -4,15 +4,17 @@ The units ("words" below) are byte 5-grams of the folded text, the bigrams thus
 6-grams: insults are often stems that occur in many forms, each of them rare.
 A document's evidence is the mean per unit of log P(toxic model) - log
 P(ordinary model), so it does not depend on the length.  Both models back off
-to the same distribution, the continuation counts of the whole corpus
+to the same distribution, the counts of the whole corpus
 (labelled or not): a rare expression is then as likely in both classes, unless
-its class has really shown it more often.  A logistic curve fitted on labelled
+its class has really shown it more often.  These counts are a table of all units
+of all documents, so it grows with the corpus; the units that the classes know
+are joined from it.  Of any other unit both classes have the same probability
+but for the weight of their backoff, so in the evidence its count cancels out.  A logistic curve fitted on labelled
 rows that the models have not seen turns the evidence into a probability.
 
 Bounds: the models are learned from at most ``sample`` labelled rows of each
 class (chosen by a hash of the id), and hold at most ``2 ** bits`` words and
-bigrams, which bounds what is collected and broadcast.  The shared backoff
-counts cover every word of every document.
+bigrams, which bounds what is collected and broadcast.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches, table, whole_text
+from .common import small_batches, table, whole_text, written
 from .kernels import U, document_blocks, mix, text_buffers
 
 SAMPLE = 2048
@@ -48,12 +50,12 @@ def folding() -> np.ndarray:
     return fold
 
 
-def blocks_of_words(column, fold):
+def blocks_of_grams(column, fold):
     """(first document, units, unit offsets) of each block of a batch.
 
-    A unit is the hash of the last GRAM bytes at each position of the folded
-    text, runs of spaces counting as one; so a stem is recognised in any of
-    its words.
+    A unit is the last GRAM bytes at each position of the folded text, packed
+    into a number, runs of spaces counting as one; so a stem is recognised in
+    any of its words.
     """
     data, offs = text_buffers(column)
     for i, j in document_blocks(offs, 1 << 18):
@@ -73,6 +75,12 @@ def blocks_of_words(column, fold):
                 at = starts + edge
                 before[at[at < len(piece)]] = 0
             gram |= before << U(8 * k)
+        yield i, gram, first
+
+
+def blocks_of_words(column, fold):
+    """The same with units as hashes."""
+    for i, gram, first in blocks_of_grams(column, fold):
         yield i, mix(gram), first
 
 
@@ -193,10 +201,10 @@ def class_bigrams(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             labels = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, hashes, first in blocks_of_words(batch.column(1), fold):
-                left, once = left_words(hashes, first), once_per_document(hashes, first)
+            for i, grams, first in blocks_of_grams(batch.column(1), fold):
+                left, once = left_words(grams, first), once_per_document(grams, first)
                 label = np.repeat(labels[i : i + len(first) - 1], np.diff(first))
-                kept.append((label[once], left[once], hashes[once]))
+                kept.append((label[once], left[once], grams[once]))
                 size += len(once)
                 if size >= FLUSH:
                     yield combined()
@@ -214,35 +222,40 @@ def collected(df: DataFrame) -> dict[str, np.ndarray]:
     return {name: rows.column(name).to_numpy() for name in rows.column_names}
 
 
-def shared_counts(docs: DataFrame, text: Column, words: np.ndarray) -> tuple[np.ndarray, float]:
-    """Continuation counts over all documents: of each of ``words``, and of all words together.
+def backoff_counts(docs: DataFrame, text: Column) -> DataFrame:
+    """(word, n) of every word of all documents, a table that grows with the corpus.
 
-    A word's count is the number of different words before it in a document,
-    summed over the documents, so partial counts of tasks add up.
+    n is the number of different words before it in a document, summed over
+    the documents, so partial counts of tasks add up.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold, at = folding(), Lookup(shared.value)
-        summed, total = np.zeros(len(shared.value), np.int64), 0
+        fold, words, counts, new, size = folding(), np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+        def merged():
+            fresh, n = np.unique(np.concatenate([words[:0], *new]), return_counts=True)
+            every, at = np.unique(np.concatenate([words, fresh]), return_inverse=True)
+            summed = np.zeros(len(every), np.int64)
+            np.add.at(summed, at, np.concatenate([counts, n]))
+            return every, summed
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
+
         for batch in batches:
-            for _, hashes, first in blocks_of_words(batch.column(0), fold):
-                kept = once_per_document(hashes, first)
-                found = at(hashes[kept])
-                summed += np.bincount(found[found >= 0], minlength=len(summed))
-                total += len(kept)
-        slots = np.flatnonzero(summed)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(slots, -1)), pa.array(np.append(summed[slots], total))], names=["slot", "n"]
-        )
-
-    found = docs.select(text.alias("text")).mapInArrow(count, "slot long, n long")
-    rows = collected(found.groupBy("slot").agg(F.sum("n").alias("n")))
-    summed = np.zeros(len(words))
-    known = rows["slot"] >= 0
-    summed[rows["slot"][known]] = rows["n"][known]
-    return summed, float(rows["n"][~known].sum())
+            for _, grams, first in blocks_of_grams(batch.column(0), fold):
+                new.append(grams[once_per_document(grams, first)])
+                size += len(new[-1])
+                if size >= FLUSH:
+                    (words, counts), new, size = merged(), [], 0
+                    if len(words) >= 4 * FLUSH:
+                        yield rows()
+                        words, counts = words[:0], counts[:0]
+        words, counts = merged()
+        yield rows()
+
+    found = docs.select(text.alias("text")).mapInArrow(count, "word long, n long")
+    return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def fit(
@@ -271,15 +284,19 @@ def fit(
     def top(df: DataFrame, *keys: str) -> dict[str, np.ndarray]:
         return collected(df.orderBy(F.desc(F.col("n0") + F.col("n1")), *keys).limit(limit))
 
-    as_word = top(by_class(["word"], bigrams, n=F.col("n")).where("n0 + n1 >= 2"), "word")
+    counts = written(backoff_counts(docs, text).withColumnRenamed("n", "shared"), "backoff")
+    known = by_class(["word"], bigrams, n=F.col("n")).where("n0 + n1 >= 2")
+    as_word = top(known.join(counts, "word"), "word")
     as_left = top(by_class(["left"], bigrams, n=F.col("n")).where("n0 + n1 >= 2 or left = 0"), "left")
     as_pair = top(by_class(["left", "word"], bigrams, n=F.col("n")).where("n0 + n1 >= 2"), "left", "word")
     totals = collected(by_class([], bigrams, n=F.col("n")))
     bigrams.unpersist()
 
-    words = as_word["word"].view(np.uint64)
-    shared, all_shared = shared_counts(docs, text, words)
-    backoff = (shared + 1) / (all_shared + 1)
+    # Units are hashed here, so that scoring finds them by their high bits.
+    for frame, names in ((as_word, ("word",)), (as_left, ("left",)), (as_pair, ("left", "word"))):
+        frame.update({name: mix(frame[name].view(np.uint64)).view(np.int64) for name in names})
+    all_shared = float(collected(counts.agg(F.sum("shared").alias("n")).na.fill(0))["n"][0])
+    backoff = (as_word["shared"] + 1) / (all_shared + 1)
     unseen = rows.where("calibrates").select("label", "text")
     sizes = collected(labels.where(~held_out(F.col(f"`{id_col}`"))).groupBy(F.col(f"`{label_col}`").cast("int").alias("label")).count().where("label in (0, 1)"))
     sizes = dict(zip(sizes["label"].tolist(), sizes["count"].tolist()))

@@ -1,9 +1,10 @@
 import random
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from patronage.llm.toxicity import drop_toxic, fit, held_out, toxicity
+from patronage.llm.toxicity import GRAM, backoff_counts, drop_toxic, fit, held_out, toxicity
 
 from .conftest import by_id
 
@@ -44,3 +45,22 @@ def test_without_labels_or_rows(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert drop_toxic(docs, none).count() == 2
     assert drop_toxic(docs.where("false"), none).count() == 0
+
+
+def test_backoff_counts_cover_every_unit_of_every_document(spark, make_docs):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab1 ") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    texts += ["a passage, COPIED often"] * 20 + [None, "", "   ", "\u00e9t\u00e9"]
+    want = Counter()
+    for text in texts:
+        folded = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 or c > 127 else 32 for c in (text or "").lower().encode())
+        while b"  " in folded:
+            folded = folded.replace(b"  ", b" ")
+        padded, before, pairs = bytes(GRAM) + folded, 0, set()
+        for i in range(len(folded)):
+            word = int.from_bytes(padded[i + 1 : i + 1 + GRAM], "big")
+            pairs.add((before, word))
+            before = word
+        want.update(word for _, word in pairs)
+    got = backoff_counts(make_docs(list(enumerate(texts)), 5), F.col("text")).collect()
+    assert {r.word: r.n for r in got} == want
