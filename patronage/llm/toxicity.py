@@ -1,4 +1,7 @@
-"""Toxicity by two Kneser-Ney models, one of toxic and one of ordinary text.
+"""Toxicity by two discounted models, one of toxic and one of ordinary text.
+
+Counts are of documents, not Kneser-Ney continuations, which told the classes
+apart far worse (figures in the README).
 
 The units ("words" below) are byte 5-grams of the folded text, the bigrams thus
 6-grams: insults are often stems that occur in many forms, each of them rare.
