@@ -16,8 +16,8 @@ but for the weight of their backoff, so in the evidence its count cancels out.
 rows that the models have not seen turns the evidence into a probability.
 
 Bounds: the models are learned from at most ``sample`` labelled rows of each
-class (chosen by a hash of the id), and hold at most ``2 ** bits`` words and
-bigrams, which bounds what is collected and broadcast.
+class (chosen by a hash of the id), and hold every word and bigram that occurs
+in two of them; so what is collected and broadcast is bounded by those texts.
 """
 
 from __future__ import annotations
@@ -33,9 +33,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import small_batches, table, whole_text, written
 from .kernels import U, document_blocks, mix, text_buffers
 
-SAMPLE = 2048
+SAMPLE = 4096
 GRAM = 5
-BITS = 18
 # (ratio, discount) tried on rows that the models have not seen.
 DISCOUNTS = ((1.0, 0.75), (2.0, 2.0), (2.0, 6.0), (4.0, 2.0))
 # Sightings granted to a class that has few, when the other class's rate is compared with it.
@@ -107,7 +106,7 @@ def once_per_document(hashes, first):
 
 
 class Lookup:
-    """Positions of at most 2 ** bits keys by open buckets; other keys give -1."""
+    """Positions of the keys by open buckets; other keys give -1."""
 
     def __init__(self, keys):
         self.keys = np.sort(keys)
@@ -268,10 +267,8 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     sample: int = SAMPLE,
-    bits: int = BITS,
 ) -> Model:
     """Learn both models; without labelled rows of both classes every score is 0.5 or less."""
-    limit = 1 << bits
     small_batches(docs.sparkSession)
     chosen = chosen_rows(labels, id_col, label_col, sample)
     text = whole_text(text_col)
@@ -283,15 +280,12 @@ def fit(
         each = [F.coalesce(F.sum(F.when(F.col("label") == c, v)), F.lit(0)).alias(f"{k}{c}") for k, v in sums.items() for c in (0, 1)]
         return df.groupBy(*keys).agg(*each)
 
-    # Each collected frame is bounded: the most frequent words and bigrams, and single rows of totals.
-    def top(df: DataFrame, *keys: str) -> dict[str, np.ndarray]:
-        return collected(df.orderBy(F.desc(F.col("n0") + F.col("n1")), *keys).limit(limit))
-
+    # Each collected frame is bounded by the texts of the sample.
     counts = written(backoff_counts(docs, text).withColumnRenamed("n", "shared"), "backoff")
     known = by_class(["word"], bigrams, n=F.col("n")).where("n0 + n1 >= 2")
-    as_word = top(known.join(counts, "word"), "word")
-    as_left = top(by_class(["left"], bigrams, n=F.col("n")).where("n0 + n1 >= 2 or left = 0"), "left")
-    as_pair = top(by_class(["left", "word"], bigrams, n=F.col("n")).where("n0 + n1 >= 2"), "left", "word")
+    as_word = collected(known.join(counts, "word"))
+    as_left = collected(by_class(["left"], bigrams, n=F.col("n")).where("n0 + n1 >= 2 or left = 0"))
+    as_pair = collected(by_class(["left", "word"], bigrams, n=F.col("n")).where("n0 + n1 >= 2"))
     totals = collected(by_class([], bigrams, n=F.col("n")))
     bigrams.unpersist()
 

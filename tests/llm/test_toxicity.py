@@ -1,10 +1,11 @@
+import inspect
 import random
 import zlib
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from patronage.llm.toxicity import GRAM, backoff_counts, drop_toxic, fit, held_out, toxicity
+from patronage.llm.toxicity import GRAM, SAMPLE, backoff_counts, drop_toxic, fit, held_out, toxicity
 
 from .conftest import by_id
 
@@ -64,3 +65,7 @@ def test_backoff_counts_cover_every_unit_of_every_document(spark, make_docs):
         want.update(word for _, word in pairs)
     got = backoff_counts(make_docs(list(enumerate(texts)), 5), F.col("text")).collect()
     assert {r.word: r.n for r in got} == want
+
+
+def test_models_are_bounded_by_the_sample_alone():
+    assert SAMPLE == 4096 and "bits" not in inspect.signature(fit).parameters
