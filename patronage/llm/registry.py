@@ -8,6 +8,7 @@ from .decontaminate import op3_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .importance import op9_importance
 from .near_dedup import op10_near_dedup
+from .quality_rules import op13_quality_rules
 from .secret_scan import OP1_SQL, op1_secret_scan
 from .substring_dedup import op5_substring_dedup
 from .toxicity import op7_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_importance": op9_importance,
     "op10_near_dedup": op10_near_dedup,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE = {
