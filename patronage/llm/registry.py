@@ -7,6 +7,7 @@ from .chat_format import OP8_SQL, op8_chat_format
 from .decontaminate import op3_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .importance import op9_importance
+from .lexical_search import OP12_SQL, op12_lexical_search
 from .near_dedup import op10_near_dedup
 from .quality_rules import op13_quality_rules
 from .secret_scan import OP1_SQL, op1_secret_scan
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_importance": op9_importance,
     "op10_near_dedup": op10_near_dedup,
+    "op12_lexical_search": op12_lexical_search,
     "op13_quality_rules": op13_quality_rules,
 }
 
@@ -33,4 +35,5 @@ ORACLE = {
     "op4_exact_dedup": OP4_SQL,
     "op6_url_filter": OP6_SQL,
     "op8_chat_format": OP8_SQL,
+    "op12_lexical_search": OP12_SQL,
 }
