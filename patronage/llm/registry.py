@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op2_byte_bpe
 from .chat_format import OP8_SQL, op8_chat_format
+from .collocations import OP11_SQL, op11_collocations
 from .decontaminate import op3_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .importance import op9_importance
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_importance": op9_importance,
     "op10_near_dedup": op10_near_dedup,
+    "op11_collocations": op11_collocations,
     "op12_lexical_search": op12_lexical_search,
     "op13_quality_rules": op13_quality_rules,
 }
@@ -35,5 +37,6 @@ ORACLE = {
     "op4_exact_dedup": OP4_SQL,
     "op6_url_filter": OP6_SQL,
     "op8_chat_format": OP8_SQL,
+    "op11_collocations": OP11_SQL,
     "op12_lexical_search": OP12_SQL,
 }
