@@ -7,7 +7,6 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
@@ -16,9 +15,13 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from .bayes import fold_accuracies
+from .materialize import materialize, release
 from .nearest import NearestNeighbors
+from .trees import ExactTreeClassifier, ExactTreeModel, grow, hits
 
 # The parameter grid searched for each classifier, in the order
 # in which ties between classifiers are decided.
@@ -45,7 +48,7 @@ MODERN = ("random_forest", "boosted_trees", "mlp")
 
 # Spark's limit; trees here otherwise grow until their leaves are pure.
 FOREST_DEPTH = 30
-# Candidate thresholds of a feature; a grid point may give its own ``max_bins``.
+# Candidate thresholds of a feature in forests; a grid point may give its own ``max_bins``.
 MAX_BINS = 1024
 
 
@@ -82,9 +85,7 @@ def _svc(p, shape):
 
 
 def _decision_tree(p, shape):
-    return DecisionTreeClassifier(
-        impurity=p["criterion"], maxDepth=p["max_depth"], maxBins=p.get("max_bins", MAX_BINS), seed=shape.seed
-    )
+    return ExactTreeClassifier(criterion=p["criterion"], maxDepth=p["max_depth"])
 
 
 def _random_forest(p, shape):
@@ -146,6 +147,56 @@ def cross_validate(data: DataFrame, estimator: Callable[[Shape], object], shape:
     return sum(scores) / folds
 
 
+def _knn_scores(data, grid, shape, folds, parallelism):
+    """One join per fold finds the neighbours for the largest k; every k votes among them."""
+    most = max(p["n_neighbors"] for p in grid)
+
+    def of_fold(fold):
+        train, test = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
+        model = NearestNeighbors(k=most).fit(train)
+        found = materialize(model.neighbors(test))
+        asked = materialize(test.groupBy(vector_to_array("features").alias("vector"), "label").agg(F.count("*").alias("rows")))
+        shares = []
+        for p in grid:
+            judged = asked.join(model.votes(found, p["n_neighbors"]), "vector", "left")
+            hit = F.sum(F.when(F.col("prediction") == F.col("label"), F.col("rows")).otherwise(0))
+            shares.append(judged.agg(hit / F.sum("rows")).first()[0] or 0.0)
+        release(found, asked)
+        model.close()
+        return shares
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        shares = list(pool.map(of_fold, range(folds)))
+    return [sum(s[i] for s in shares) / folds for i in range(len(grid))], None
+
+
+def _bayes_scores(data, grid, shape, folds, parallelism):
+    """Sums per fold give the models of all folds left out."""
+    return [sum(fold_accuracies(data, folds)) / folds] * len(grid), None
+
+
+def _tree_scores(data, grid, shape, folds, parallelism):
+    """All criteria and folds grow together, to the largest depth; every depth is a cut of the same tree."""
+    depth = max(p["max_depth"] for p in grid)
+    criteria = list(dict.fromkeys(p["criterion"] for p in grid))
+    wanted = [(c, fold) for c in criteria for fold in (*range(folds), -1)]
+    rows = materialize(data.select(vector_to_array("features").alias("vector"), F.col("label").cast("long").alias("label"), "fold"))
+    trees = grow(rows, wanted, depth, shape.features, shape.classes)
+    shares = hits(rows, trees, sorted({p["max_depth"] for p in grid}))
+    release(rows)
+    scores = [sum(shares.get((t, p["max_depth"]), 0.0) for t, (c, fold) in enumerate(wanted) if c == p["criterion"] and fold >= 0) / folds for p in grid]
+
+    def refit(p):
+        model = ExactTreeModel(trees[wanted.index((p["criterion"], -1))])
+        return model._set(criterion=p["criterion"], maxDepth=p["max_depth"])
+
+    return scores, refit
+
+
+# Families whose grid points and folds share work: each gives the scores of a grid and, if it has them, the models on all rows.
+JOINT = {"knn": _knn_scores, "naive_bayes": _bayes_scores, "decision_tree": _tree_scores}
+
+
 @dataclass(frozen=True)
 class Score:
     model: str
@@ -157,21 +208,26 @@ class Score:
 def search(data: DataFrame, grids: dict[str, list[dict]], shape: Shape, folds: int, parallelism: int = 4) -> list[Score]:
     """Best parameters of every family, refitted on all of ``data``.
 
-    Grid points are fitted side by side from driver threads, as they are
-    independent jobs on the same materialized frame.
+    Families in ``JOINT`` answer their whole grid over all folds together.  The
+    grid points of the others are fitted side by side from driver threads, as
+    they are independent jobs on the same materialized frame.
     """
-    points = [(name, params) for name, grid in grids.items() for params in grid]
+    alone = [(name, params) for name, grid in grids.items() for params in grid if name not in JOINT]
 
     def score(point):
         name, params = point
         return cross_validate(data, lambda s: ESTIMATORS[name](params, s), shape, folds)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        scored = list(zip(points, pool.map(score, points)))
+        scores = dict(zip(range(len(alone)), pool.map(score, alone)))
     result = []
-    for name in grids:
+    for name, grid in grids.items():
+        if name in JOINT:
+            found, refit = JOINT[name](data, grid, shape, folds, parallelism)
+        else:
+            found, refit = [scores[i] for i, (other, _) in enumerate(alone) if other == name], None
         # max() keeps the first of equal scores.
-        (_, params), best = max((s for s in scored if s[0][0] == name), key=lambda s: s[1])
-        fitted = ESTIMATORS[name](params, shape).fit(data.select("features", "label"))
+        best, params = max(zip(found, grid), key=lambda s: s[0])
+        fitted = refit(params) if refit else ESTIMATORS[name](params, shape).fit(data.select("features", "label"))
         result.append(Score(name, best, params, fitted))
     return result
