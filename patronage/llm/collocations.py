@@ -1,10 +1,11 @@
 """Phrase collocations over a prefix-free parse of the texts.
 
 1. Texts are split into pieces and words.  A word whose hash is a multiple of
-   TRIGGER begins a chunk, wherever it occurs, and so does each piece; a chunk
-   also holds the words of its piece that follow it, one fewer than a phrase
-   has, so that every n-gram lies whole in the chunk that it starts in.  Equal
-   passages give equal chunks whatever surrounds them.
+   TRIGGER begins a chunk, wherever it occurs, and so does each text.  Pieces
+   are kept apart within a chunk.  A chunk also holds the words that follow it
+   in its last piece, one fewer than a phrase has, so that every n-gram lies
+   whole in the chunk that it starts in.  Equal passages give equal chunks
+   whatever surrounds them.
 2. The different chunks are the dictionary, with the number of times that each
    occurs in the parse.  Copies and repeated passages are counted here, once.
 3. n-grams are counted in the dictionary, weighted by those numbers.  Each is
@@ -38,7 +39,7 @@ LONGEST, LEAST, TOP = 3, 10, 2000
 # A candidate goes if a longer one has at least this share of its occurrences.
 CONTAINED_PERCENT = 50
 MILLION = 1_000_000
-BLOCK, HELD = 1 << 20, 1 << 22
+BLOCK, HELD = 1 << 20, 1 << 23
 # Bits of a filter for each n-gram, and at most.
 BITS, MOST_BITS = 16, 1 << 28
 # Parts in which the best of a language are found before they are merged.
@@ -60,7 +61,7 @@ def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Ar
 
 
 def parse(data: np.ndarray, offs: np.ndarray, hasher: WordHasher, longest: int, trigger: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """(document, chunk, own words) of the chunks of a block of documents.  A chunk's words are joined by single spaces."""
+    """(document, chunk, own words) of the chunks of a block of documents.  Words are joined by a space, pieces by a line end."""
     hashes, starts, ends, _ = hasher.words(data, offs)
     n = len(hashes)
     if not n:
@@ -69,16 +70,18 @@ def parse(data: np.ndarray, offs: np.ndarray, hasher: WordHasher, longest: int,
     ended[[*b".,;:!?", 10, 11, 12, 13]] = True
     pieces = np.cumsum(ended[data])[starts]
     doc = np.searchsorted(offs, starts, "right") - 1
-    new = np.concatenate([[True], (pieces[1:] != pieces[:-1]) | (doc[1:] != doc[:-1])])
-    first = np.flatnonzero(new | (hashes % U(trigger) == 0))
+    new_doc = np.concatenate([[True], doc[1:] != doc[:-1]])
+    new = new_doc | np.concatenate([[True], pieces[1:] != pieces[:-1]])
+    first = np.flatnonzero(new_doc | (hashes % U(trigger) == 0))
     after = np.append(first[1:], n)
     piece = np.append(np.flatnonzero(new), n)
-    last = np.minimum(after + longest - 1, piece[np.searchsorted(piece, first, "right")])
-    # The words one after the other, each with a space behind it.
+    last = np.minimum(after + longest - 1, piece[np.searchsorted(piece, after - 1, "right")])
+    # The words one after the other, each with a space or line end behind it.
     lengths = ends - starts
     place = np.concatenate([[0], np.cumsum(lengths + 1)])
     inside = ~hasher.space[data]
     joined = np.full(place[-1], 32, np.uint8)
+    joined[place[piece[1:]] - 1] = 10
     joined[np.arange(lengths.sum()) + np.repeat(np.arange(n), lengths)] = hasher.fold[data[inside]]
     chunks = gathered(joined, place[first], place[last] - 1 - place[first])
     return doc[first], chunks, (after - first).astype(np.int32)
@@ -158,6 +161,7 @@ def gram_counts(dictionary: DataFrame, order: int, shared, held: int = HELD) ->
             sizes = np.diff(first)
             chunk = np.repeat(np.arange(len(sizes)), sizes)
             place = np.arange(len(hashes)) - first[chunk]
+            piece = np.cumsum(data == 10)[starts]
             own = place < whole.column("own").to_numpy()[chunk]
             weights = whole.column("freq").to_numpy()[chunk]
             lang = langs.indices.to_numpy()[chunk].astype(np.int64)
@@ -174,6 +178,7 @@ def gram_counts(dictionary: DataFrame, order: int, shared, held: int = HELD) ->
                 kinds, spot, back = np.unique(several[there], return_index=True, return_inverse=True)
                 frequent[there] = in_filter(shared.value[k - 1], rolled[there[spot]])[back]
                 fits = np.flatnonzero(frequent[:-1] & frequent[1:] & (place[:-1] + k < sizes[chunk[:-1]]))
+                fits = fits[piece[fits] == piece[fits + k]]
                 keys = several[fits] * (int(single.max()) + 1) + single[fits + k]
                 longer = np.full(len(hashes), -1, np.int64)
                 longer[fits] = np.unique(keys, return_inverse=True)[1]
@@ -269,7 +274,7 @@ def collocations(
     its lowest-scoring cut, n those of all words, score is
     floor(1000000 a a / (l r)).  Equal scores go by falling a, then by phrase
     in byte order.  A null language is ``und``.  Null, empty and very long
-    texts, a piece without any word that begins a chunk (it is one chunk), and
+    texts, a text without any word that begins a chunk (it is one chunk), and
     repeated rows (they count as often as they are there) need no care.  An
     empty table gives an empty result.  Other columns are ignored.
     """

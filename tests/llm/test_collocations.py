@@ -90,9 +90,10 @@ def test_parse_assigns_overlaps_once():
     data = np.frombuffer("a b c. D  e\tf g h i j k l m n o p q r s t u v w, x".encode(), np.uint8)
     doc, chunks, own = C.parse(data, np.array([0, len(data)]), hasher, 3, 3)
     assert own.sum() == 24 and set(doc) == {0}
-    starts = [w for c, n in zip(chunks.to_pylist(), own) for w in c.split(" ")[:n]]
+    starts = [w for c, n in zip(chunks.to_pylist(), own) for w in c.split()[:n]]
     assert "".join(starts) == "abcdefghijklmnopqrstuvwx"
-    assert all(len(c.split(" ")) <= n + 2 for c, n in zip(chunks.to_pylist(), own))
+    assert all(len(c.split()) <= n + 2 for c, n in zip(chunks.to_pylist(), own))
+    assert sum(c.count("\n") for c in chunks.to_pylist()) >= 1 and not any("c d" in c or "w x" in c for c in chunks.to_pylist())
 
 
 def test_filter_has_all_and_empty_table(spark):
