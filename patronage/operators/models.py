@@ -7,7 +7,6 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -19,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from .bayes import fold_accuracies
+from .boosting import BoostedTreesClassifier, Ensemble, model_of, train
 from .materialize import materialize, release
 from .nearest import NearestNeighbors
 from .trees import ExactTreeClassifier, ExactTreeModel, grow, hits
@@ -99,15 +99,7 @@ def _random_forest(p, shape):
 
 
 def _boosted_trees(p, shape):
-    return OneVsRest(
-        classifier=GBTClassifier(
-            stepSize=p["learning_rate"],
-            maxIter=p["n_estimators"],
-            maxDepth=p["max_depth"],
-            maxBins=p.get("max_bins", MAX_BINS),
-            seed=shape.seed,
-        )
-    )
+    return BoostedTreesClassifier(rate=p["learning_rate"], rounds=p["n_estimators"], maxDepth=p["max_depth"])
 
 
 def _mlp(p, shape):
@@ -193,8 +185,25 @@ def _tree_scores(data, grid, shape, folds, parallelism):
     return scores, refit
 
 
+def _boosted_scores(data, grid, shape, folds, parallelism):
+    """All rates, depths and folds are boosted together; fewer trees are a prefix of more."""
+    settings = list(dict.fromkeys((p["learning_rate"], p["max_depth"]) for p in grid))
+    wanted = [Ensemble(rate, depth, fold) for rate, depth in settings for fold in (*range(folds), -1)]
+    rows = data.select(vector_to_array("features").alias("vector"), F.col("label").cast("int").alias("label"), "fold")
+    numbers = tuple(sorted({p["n_estimators"] for p in grid}))
+    edges, shares = train(rows, wanted, numbers[-1], shape.features, shape.classes, judged=numbers)
+    of = {(e.rate, e.depth, e.fold): i for i, e in enumerate(wanted)}
+    scores = [sum(shares.get((of[p["learning_rate"], p["max_depth"], fold], p["n_estimators"]), 0.0) for fold in range(folds)) / folds for p in grid]
+
+    def refit(p):
+        model = model_of(wanted[of[p["learning_rate"], p["max_depth"], -1]], edges)
+        return model._set(rate=p["learning_rate"], rounds=p["n_estimators"], maxDepth=p["max_depth"])
+
+    return scores, refit
+
+
 # Families whose grid points and folds share work: each gives the scores of a grid and, if it has them, the models on all rows.
-JOINT = {"knn": _knn_scores, "naive_bayes": _bayes_scores, "decision_tree": _tree_scores}
+JOINT = {"knn": _knn_scores, "naive_bayes": _bayes_scores, "decision_tree": _tree_scores, "boosted_trees": _boosted_scores}
 
 
 @dataclass(frozen=True)

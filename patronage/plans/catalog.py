@@ -425,7 +425,7 @@ def _predictor(spark, sf, families):
 
 
 # Families whose scores SQL can compute.
-SCORED_BY_SQL = ("knn", "naive_bayes")
+SCORED_BY_SQL = ("knn", "naive_bayes", "decision_tree")
 
 
 def _scores(family):

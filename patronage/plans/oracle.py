@@ -274,7 +274,7 @@ FROM (SELECT held, avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0.0::D
 
 
 # Grid points of the families that train by iteration.
-_POINTS = {"logistic_regression": 3, "svc": 1, "decision_tree": 6, "random_forest": 1, "boosted_trees": 1, "mlp": 1}
+_POINTS = {"logistic_regression": 3, "svc": 3, "random_forest": 1, "boosted_trees": 1, "mlp": 1}
 
 
 def _summary(family: str, points: int) -> str:
@@ -313,6 +313,68 @@ likelihoods AS (
 predicted AS (SELECT held, customer, label, arg_max(other, score) AS prediction FROM likelihoods GROUP BY 1, 2, 3)"""
 
 
+def _tree_scores(depths: tuple[int, ...] = (5, 10, 15), criteria: tuple[str, ...] = ("gini", "entropy")) -> str:
+    """Greedy trees over every threshold, grown level by level for each criterion and fold left out.
+
+    Nodes are numbered like a heap.  Numbers are scaled by a product, as the
+    fitted scaler does, since held-out values may lie on a threshold.
+    """
+    low, high = 'CAST(min("{0}") OVER () AS DOUBLE)', 'CAST(max("{0}") OVER () AS DOUBLE)'
+    scaled = [
+        *[f'(CAST("{c}" AS DOUBLE) - {low}) * (1.0::DOUBLE / ({high} - {low}))'.replace("{0}", c) for c in _NUMBERS],
+        *_FEATURES[len(_NUMBERS) :],
+    ]
+    names = ", ".join(f"x{i}" for i in range(len(scaled)))
+    ctes = [
+        f"""cells AS MATERIALIZED (
+  SELECT customer, unnest(range({len(scaled)})) AS i, unnest([{names}]) AS v
+  FROM (SELECT customer, {", ".join(f"{e} AS x{i}" for i, e in enumerate(scaled))}
+        FROM segment JOIN (SELECT DISTINCT customer, customer_segment FROM rows_) USING (customer)
+        JOIN fitted ON name = 'kept' AND id = customer))""",
+        f"""n0 AS MATERIALIZED (
+  SELECT criterion, held, customer, label, fold = held AS test, 1::BIGINT AS node
+  FROM (SELECT customer, label, fold FROM folded), held, (SELECT unnest({list(criteria)}) AS criterion))""",
+    ]
+    gini = lambda c: f"-({c[0]} * {c[0]} + {c[1]} * {c[1]} + {c[2]} * {c[2]}) / ({c[0]} + {c[1]} + {c[2]})"
+    log = lambda c: f"CASE WHEN {c} > 0 THEN {c} * ln({c}) ELSE 0.0::DOUBLE END"
+    entropy = lambda c: f"({c[0]} + {c[1]} + {c[2]}) * ln({c[0]} + {c[1]} + {c[2]}) - ({log(c[0])} + {log(c[1])} + {log(c[2])})"
+    left, right = [f"l{k}" for k in range(3)], [f"r{k}" for k in range(3)]
+    for level in range(max(depths)):
+        ctes += [
+            f"""o{level} AS MATERIALIZED (
+  SELECT criterion, held, node FROM n{level} WHERE NOT test GROUP BY ALL HAVING count(DISTINCT label) > 1)""",
+            f"""p{level} AS (
+  SELECT criterion, held, node, i, v, lead(v) OVER w AS after,
+         {", ".join(f"CAST(sum(c{k}) OVER w AS DOUBLE) AS l{k}, CAST(sum(c{k}) OVER (PARTITION BY criterion, held, node, i) AS DOUBLE) AS a{k}" for k in range(3))}
+  FROM (SELECT criterion, held, node, i, v, {", ".join(f"count(*) FILTER (label = {k}) AS c{k}" for k in range(3))}
+        FROM n{level} JOIN o{level} USING (criterion, held, node) JOIN cells USING (customer) WHERE NOT test GROUP BY ALL)
+  WINDOW w AS (PARTITION BY criterion, held, node, i ORDER BY v)),
+s{level} AS (
+  SELECT criterion, held, node, i, CASE WHEN (v + after) / 2 < after THEN (v + after) / 2 ELSE v END AS threshold,
+         round(CASE criterion WHEN 'gini' THEN {gini(left)} + {gini(right)} ELSE {entropy(left)} + {entropy(right)} END, 6) AS score
+  FROM (SELECT *, {", ".join(f"a{k} - l{k} AS r{k}" for k in range(3))} FROM p{level} WHERE after IS NOT NULL)),
+b{level} AS MATERIALIZED (
+  SELECT criterion, held, node, arg_min(i, (score, i, threshold)) AS i, arg_min(threshold, (score, i, threshold)) AS threshold
+  FROM s{level} GROUP BY 1, 2, 3)""",
+            f"""n{level + 1} AS MATERIALIZED (
+  SELECT n.criterion, n.held, n.customer, n.label, n.test,
+         CASE WHEN b.i IS NULL THEN n.node ELSE 2 * n.node + CASE WHEN x.v > b.threshold THEN 1 ELSE 0 END END AS node
+  FROM n{level} n LEFT JOIN b{level} b USING (criterion, held, node) LEFT JOIN cells x ON x.customer = n.customer AND x.i = b.i)""",
+        ]
+    cuts = " UNION ALL ".join(
+        f"""SELECT criterion, {d} AS depth, held, avg(CASE WHEN label = best THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy
+  FROM n{d} JOIN (SELECT criterion, held, node, arg_max(label, (n, -label)) AS best
+                  FROM (SELECT criterion, held, node, label, count(*) AS n FROM n{d} WHERE NOT test GROUP BY ALL) GROUP BY 1, 2, 3)
+    USING (criterion, held, node) WHERE test GROUP BY ALL"""
+        for d in depths
+    )
+    return f"""{_FOLDED}, {", ".join(ctes)}, shares AS ({cuts}),
+points AS (SELECT criterion, depth, avg(accuracy) AS score FROM shares GROUP BY 1, 2)
+SELECT 'decision_tree' AS model, round(score, 6) AS best_score,
+       '{{''criterion'': ''' || criterion || ''', ''max_depth'': ' || depth || '}}' AS best_params
+FROM points ORDER BY round(score, 12) DESC, list_position({list(criteria)}, criterion), depth LIMIT 1"""
+
+
 def _histogram(measure: str, digits: int) -> str:
     return f"""WITH {_MAIN}, {_RFM}, b AS (SELECT min("{measure}") AS low, max("{measure}") AS high FROM rfm),
 w AS (SELECT low, high, least(CAST(floor(30 * ("{measure}" - low) / (high - low)) AS BIGINT) + 1, 30) AS bin FROM rfm, b)
@@ -487,6 +549,7 @@ points AS (SELECT k, avg(accuracy) AS score FROM accuracies GROUP BY 1)
 SELECT 'knn' AS model, round(score, 6) AS best_score, '{{''n_neighbors'': ' || k || '}}' AS best_params
 FROM points ORDER BY round(score, 12) DESC, k LIMIT 1""",
     **{f"ltv_scores_{family}": _summary(family, points) for family, points in _POINTS.items()},
+    "ltv_scores_decision_tree": _tree_scores(),
     "ltv_scores_naive_bayes": _scores("naive_bayes", "{}", _BAYES_PREDICTIONS),
     "suite_result_sizes": f"WITH {_MAIN}, {_TYPED}\n"
     + "\nUNION ALL ".join(
