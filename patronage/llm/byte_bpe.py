@@ -12,17 +12,18 @@ cannot be longer than the longest token, the lookahead is bounded.
 
 Decoding.  Ids become bytes; an incremental UTF-8 state machine turns chunks of
 them into text whose boundaries may fall within a character.
+
+What a task remembers (states, transitions, pairs of tokens, encoded matches) is
+bounded by bytes and begun anew when it is full, also in the midst of a match.
 """
 
 from __future__ import annotations
 
 import base64
-import codecs
 import hashlib
 import sys
 import types
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import pyarrow as pa
 import public_tokenizers
@@ -31,8 +32,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .common import small_batches, table, whole_text
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-# Bounds of the memo tables of a task; a full table is begun anew.
-STATES, PAIRS, WORDS = 1 << 17, 1 << 19, 1 << 19
+# Bytes, as estimated (it takes about six tenths of them), of all that a worker remembers; of these the shares
+# of the transducer, of pairs of tokens and of encoded matches.  A full table is begun anew.
+MEMORY = 640 << 20
+MACHINE_SHARE, PAIR_SHARE, WORD_SHARE = 1 / 2, 1 / 8, 3 / 8
+# Estimated bytes of an entry: a pair or end, a transition, what it emits, a state, each of its numbers, a match (without its content).
+PAIR, STEP, EMITTED, STATE, NUMBER, WORD = 110, 115, 110, 190, 10, 200
 CHUNK = 1 << 20
 
 
@@ -55,26 +60,46 @@ def merged(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 60) -> list[
 class Transducer:
     """Deterministic states over bytes, made on demand.
 
-    A guess is (bytes of the open token, last token, tokens owed), a state is
-    the tuple of its guesses, the oldest first.
+    A state is a tuple of numbers: the token emitted last (-1 at first), and for
+    each open guess, the oldest first, its node in the vocabulary's trie, how
+    many tokens it owes, and these.
     """
 
-    START = ((b"", -1, ()),)
+    START = (-1, 0, 0)
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], memory: int = MEMORY):
         self.ranks = ranks
+        self.most, self.most_pairs = int(memory * MACHINE_SHARE), int(memory * PAIR_SHARE)
         self.token_bytes = {i: b for b, i in ranks.items()}
-        self.prefixes = {b[:n] for b in ranks for n in range(1, len(b))}
+        # The trie: (node, byte) to the node of a longer prefix, and to the token that ends there.
+        numbers, self.walk, self.accept = {b"": 0}, {}, {}
+        for data, token in ranks.items():
+            for n in range(1, len(data)):
+                if data[:n] not in numbers:
+                    self.walk[numbers[data[: n - 1]] << 8 | data[n - 1]] = numbers[data[:n]] = len(numbers)
+            self.accept[numbers[data[:-1]] << 8 | data[-1]] = token
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.alone: dict[int, bool] = {}
         self.follows: dict[int, bool] = {}
         self.clear()
 
-    def clear(self) -> None:
-        self.numbers = {self.START: 0}
-        self.states = [self.START]
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+    def clear(self, state: int = 0) -> int:
+        """Forget all states but the first and the given one, whose new number is returned."""
+        kept = self.states[state] if state else self.START
+        self.numbers, self.states, self.size = {}, [], 0
+        # A transition is the number of the next state, with the tokens that it emits if there are any.
+        self.steps: dict[int, int | tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
+        self.number(self.START)
+        return self.number(kept)
+
+    def number(self, guesses: tuple) -> int:
+        known = self.numbers.get(guesses)
+        if known is None:
+            known = self.numbers[guesses] = len(self.states)
+            self.states.append(guesses)
+            self.size += STATE + NUMBER * len(guesses)
+        return known
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte."""
@@ -102,7 +127,7 @@ class Transducer:
         key = left << 32 | right
         known = self.follows.get(key)
         if known is None:
-            if len(self.follows) >= PAIRS:
+            if len(self.follows) * PAIR > self.most_pairs:
                 self.follows.clear()
             known = self.follows[key] = self.stands(right) if left < 0 else self.stands(left) and self.stands(right) and self.border(left, right)
         return known
@@ -123,107 +148,123 @@ class Transducer:
             else:
                 before, undone_left, right = right, False, b[0]
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state and the tokens that are now certain."""
-        known = self.steps.get(state << 8 | byte)
-        if known is None:
-            known = self.steps[state << 8 | byte] = self.make_step(state, byte)
-        return known
-
-    def make_step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        guesses = []
-        prefixes, token_at, follows = self.prefixes, self.ranks.get, self.follows.get
-        byte = bytes((byte,))
-        for node, last, owed in self.states[state]:
-            longer = node + byte
-            if longer in prefixes:
-                guesses.append((longer, last, owed))
-            token = token_at(longer)
+    def step(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
+        """The next state, and the tokens that are now certain."""
+        guesses, walk, accept, follows = [], self.walk.get, self.accept.get, self.follows.get
+        held = self.states[state]
+        before, at, end = held[0], 1, len(held)
+        while at < end:
+            edge, owed = held[at] << 8 | byte, held[at + 2 : at + 2 + held[at + 1]]
+            at += 2 + len(owed)
+            longer = walk(edge)
+            if longer is not None:
+                guesses.append((longer, owed))
+            token = accept(edge)
             if token is not None:
+                last = owed[-1] if owed else before
                 fits = follows(last << 32 | token)
                 if fits or fits is None and self.compatible(last, token):
-                    guesses.append((b"", token, owed + (token,)))
-        first = guesses[0][2]
-        agreed = 0
+                    guesses.append((0, (*owed, token)))
+        first, agreed = guesses[0][1], 0
         for token in first:
-            for guess in guesses:
-                if len(guess[2]) <= agreed or guess[2][agreed] != token:
+            for _, owed in guesses:
+                if len(owed) <= agreed or owed[agreed] != token:
                     break
             else:
                 agreed += 1
                 continue
             break
+        target = [first[agreed - 1] if agreed else before]
+        for node, owed in guesses:
+            target += (node, len(owed) - agreed, *owed[agreed:])
+        found = self.number(tuple(target))
+        self.size += STEP
         if agreed:
-            guesses = [(node, last, owed[agreed:]) for node, last, owed in guesses]
-        target = tuple(guesses)
-        number = self.numbers.get(target)
-        if number is None:
-            number = self.numbers[target] = len(self.states)
-            self.states.append(target)
-        return number, first[:agreed]
+            self.size += EMITTED
+            found = found, first[:agreed]
+        self.steps[state << 8 | byte] = found
+        return found
 
     def end(self, state: int) -> tuple[int, ...]:
         """The tokens owed by the one guess that ends here."""
         known = self.ends.get(state)
         if known is None:
-            known = self.ends[state] = next(owed for node, _, owed in self.states[state] if node == b"")
+            held, at = self.states[state], 1
+            while held[at]:
+                at += 2 + held[at + 1]
+            self.size += PAIR
+            known = self.ends[state] = held[at + 2 : at + 2 + held[at + 1]]
         return known
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)  # a piece that is a token stands for itself
         if whole is not None:
             return [whole]
-        if len(self.states) >= STATES:
-            self.clear()
         out: list[int] = []
-        state = 0
+        state, known = 0, self.steps.get
         for byte in piece:
-            state, emitted = self.step(state, byte)
-            if emitted:
+            found = known(state << 8 | byte)
+            if found is None:
+                if self.size > self.most:
+                    state, known = self.clear(state), self.steps.get
+                found = self.step(state, byte)
+            if found.__class__ is int:
+                state = found
+            else:
+                state, emitted = found
                 out += emitted
         out += self.end(state)
         return out
 
 
 class Words(dict):
-    """Encodings of the pattern's matches, made when first asked for."""
+    """Encodings of the pattern's matches, as ids joined by spaces, made when first asked for."""
 
-    def __init__(self, transducer: Transducer):
-        self.transducer = transducer
+    def __init__(self, transducer: Transducer, memory: int = MEMORY):
+        self.transducer, self.most, self.size = transducer, int(memory * WORD_SHARE), 0
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.transducer.encode(word.encode("utf-8", "surrogatepass")))
+    def __missing__(self, word: str) -> str:
+        known = " ".join(map(str, self.transducer.encode(word.encode("utf-8", "surrogatepass"))))
         if len(word) <= 64:
-            self[word] = ids
-        return ids
+            if self.size > self.most:
+                self.clear()
+                self.size = 0
+            self.size += WORD + len(word) + len(known)
+            self[word] = known
+        return known
 
 
-def encoder_of(path: str, pattern: str) -> Encoder:
+def encoder_of(path: str, pattern: str, memory: int = MEMORY) -> Encoder:
     """An encoder that lasts as long as the worker process, whose tasks share what it has made."""
     held = sys.modules.setdefault("patronage_encoders", types.ModuleType("patronage_encoders"))
-    key = f"{path}\n{pattern}"
+    key = f"{path}\n{pattern}\n{memory}"
     if not hasattr(held, key):
-        setattr(held, key, Encoder(path, pattern))
+        setattr(held, key, Encoder(path, pattern, memory))
     return getattr(held, key)
 
 
 class Encoder:
     """Splits text by the pattern and encodes each match; remembers the matches it has seen."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, memory: int = MEMORY):
         import regex
 
         self.ranks = read_ranks(path)
-        self.transducer = Transducer(self.ranks)
+        self.transducer = Transducer(self.ranks, memory)
         self.matches = regex.compile(pattern).findall
-        self.known = Words(self.transducer)
+        self.known = Words(self.transducer, memory)
 
-    def encode(self, text: str) -> Iterator[list[int]]:
-        """The ids of successive pieces of the text."""
+    def rendered(self, text: str) -> Iterator[str]:
+        """The ids of successive parts of the text, joined by spaces."""
         for piece in pieces(text):
-            if len(self.known) >= WORDS:
-                self.known.clear()
-            yield list(chain.from_iterable(map(self.known.__getitem__, self.matches(piece))))
+            found = self.matches(piece)
+            if found:
+                yield " ".join(map(self.known.__getitem__, found))
+
+    def encode(self, text: str) -> Iterator[list[int]]:
+        """The ids of successive parts of the text."""
+        for ids in self.rendered(text):
+            yield [int(i) for i in ids.split(" ")]
 
 
 def pieces(text: str, size: int = CHUNK) -> Iterator[str]:
@@ -248,22 +289,46 @@ def pieces(text: str, size: int = CHUNK) -> Iterator[str]:
         yield text[at:]
 
 
-class Decoder:
-    """Ids to text in chunks; an unfinished character waits for its other bytes.
+class Utf8Machine:
+    """Bytes to text in chunks.  The state is the beginning of a character whose other bytes are still to come.
 
-    Bytes that are no UTF-8 become U+FFFD.
+    Bytes that are no UTF-8 become U+FFFD, as if all chunks were decoded at once.
     """
 
-    def __init__(self, token_bytes: dict[int, bytes]):
-        self.token_bytes = token_bytes
-        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+    def __init__(self):
+        self.open = b""
+
+    def feed(self, data: bytes) -> str:
+        data = self.open + data
+        cut = len(data)
+        # The last first byte of a character is among the last three, or the character is complete.
+        for back in range(1, min(3, cut) + 1):
+            first = data[-back]
+            if first & 0xC0 != 0x80:
+                size = 4 if first >= 0xF0 else 3 if first >= 0xE0 else 2 if first >= 0xC2 else 1
+                if size > back:
+                    cut -= back
+                break
+        self.open = data[cut:]
+        return data[:cut].decode("utf-8", "replace")
+
+    def end(self) -> str:
+        rest, self.open = self.open, b""
+        return rest.decode("utf-8", "replace")
+
+
+class Decoder:
+    """Ids to bytes and text in chunks; ``token_bytes`` has the bytes of each id, or of its decimal form."""
 
-    def feed(self, ids: Iterable[int]) -> tuple[bytes, str]:
+    def __init__(self, token_bytes: dict):
+        self.token_bytes, self.machine = token_bytes, Utf8Machine()
+
+    def feed(self, ids: Iterable) -> tuple[bytes, str]:
         data = b"".join(map(self.token_bytes.__getitem__, ids))
-        return data, self.machine.decode(data)
+        return data, self.machine.feed(data)
 
     def end(self) -> str:
-        return self.machine.decode(b"", True)
+        return self.machine.end()
 
 
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string, same_text boolean"
@@ -300,31 +365,31 @@ def decoded_text(ids: Column, path: str | None = None) -> Column:
     return text(ids)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, memory: int = MEMORY) -> DataFrame:
     """One row per row: id, number of tokens, digests of the ids and of the decoded bytes, whether the text came back.
 
     A null text counts as empty: no tokens, digests of nothing.  Repeated rows
     give repeated results; other columns are ignored.  Texts are worked on in
-    parts, so that a very long one needs little more than itself.
+    parts, so that a very long one needs little more than itself.  ``memory``
+    bounds what a worker remembers between them.
     """
     small_batches(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path, pattern)
-        token_bytes = encoder.transducer.token_bytes
-        numbers = {i: str(i) for i in token_bytes}
+        encoder = encoder_of(path, pattern, memory)
+        token_bytes = {str(i): b for i, b in encoder.transducer.token_bytes.items()}
         for batch in batches:
             rows = []
             for scalar in batch.column(1):
                 text = scalar.as_py()
                 decoder, of_ids, of_bytes = Decoder(token_bytes), hashlib.sha256(), hashlib.sha256()
                 n, same, at = 0, True, 0
-                for ids in encoder.encode(text):
-                    if ids:
-                        of_ids.update((" " if n else "").encode() + " ".join(map(numbers.__getitem__, ids)).encode())
-                    n += len(ids)
-                    data, part = decoder.feed(ids)
+                for ids in encoder.rendered(text):
+                    of_ids.update((" " + ids if n else ids).encode())
+                    each = ids.split(" ")
+                    n += len(each)
+                    data, part = decoder.feed(each)
                     of_bytes.update(data)
                     same = same and text.startswith(part, at)
                     at += len(part)

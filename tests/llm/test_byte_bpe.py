@@ -4,8 +4,9 @@ import random
 import public_tokenizers
 import tiktoken
 
-from patronage.llm import byte_bpe
+from patronage.llm import byte_bpe, registry
 from patronage.llm.byte_bpe import VOCABULARY, Decoder, Encoder, Transducer, decoded_text, digests, pieces, read_ranks, token_ids
+from patronage.llm.common import table
 
 from .conftest import by_id
 
@@ -23,11 +24,40 @@ def test_equals_the_library():
         assert [i for part in encoder.encode(text) for i in part] == LIBRARY.encode_ordinary(text)
 
 
-def test_states_may_be_begun_anew(monkeypatch):
-    monkeypatch.setattr(byte_bpe, "STATES", 50)
-    transducer = Transducer(RANKS)
-    for word in ("internationalisation", "thndreouble", "ééé漢字"):
+def test_memory_is_bounded_also_within_a_match():
+    small = 80_000
+    transducer = Transducer(RANKS, small)
+    long = "".join(RANDOM.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))
+    for word in ("internationalisation", "thndreouble", "ééé漢字", long):
         assert transducer.encode(word.encode()) == LIBRARY.encode_ordinary(word)
+        assert transducer.size < small and len(transducer.follows) < 200
+    words = byte_bpe.Words(Transducer(RANKS), 30_000)
+    for i in range(200):
+        word = f"wd{i}x"
+        assert [int(x) for x in words[word].split(" ")] == transducer.encode(word.encode())
+        assert words.size < 12_000
+
+
+def test_utf8_machine_equals_decoding_at_once():
+    for _ in range(300):
+        data = bytes(RANDOM.choice(b"a\xc3\xa9\xe6\xbc\xa2\xf0\x9f\x98\x80\xff\xc0\xed\xa0") for _ in range(RANDOM.randint(0, 30)))
+        machine, out, at = byte_bpe.Utf8Machine(), "", 0
+        while at < len(data):
+            step = RANDOM.randint(1, 4)
+            out += machine.feed(data[at : at + step])
+            at += step
+        assert out + machine.end() == data.decode("utf-8", "replace")
+
+
+def test_query_equals_the_library(spark, sf_dir):
+    rows = {r.doc_id: r for r in registry.QUERIES["op2_byte_bpe"](spark, sf_dir).collect()}
+    docs = table(spark, sf_dir, "documents").collect()
+    assert len(rows) == len(docs)
+    for r in docs:
+        ids = LIBRARY.encode_ordinary(r.text or "")
+        got = rows[r.doc_id]
+        assert (got.n_tokens, got.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert got.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest() and got.same_text
 
 
 def test_long_texts_are_cut_where_a_match_begins():
