@@ -18,6 +18,10 @@ from patronage.llm.near_dedup import drop_near_copies
 from patronage.llm.toxicity import drop_toxic
 
 
+# The encoder shares its executors with what earlier stages have left there.
+ENCODER_MEMORY = 192 << 20
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
@@ -40,7 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
-    return digests(docs)
+    return digests(docs, memory=ENCODER_MEMORY)
 
 
 STAGES = [
