@@ -8,13 +8,13 @@ from pyspark.ml.feature import (
     MinMaxScaler,
     OneHotEncoder,
     SQLTransformer,
-    StringIndexer,
     VectorAssembler,
 )
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.nulls import known
 from . import kmeans1d
+from .categories import CategoryIndexer
 from .quantile import exact_quantile
 from .rfm import REVENUE
 
@@ -22,8 +22,6 @@ LABEL = "LTV Cluster"
 PREDICTED = "Life Time Value Predicted"
 # Hexadecimal digits of the customers' digests that make the buckets of the folds.
 FOLD_DIGITS = 3
-# Largest number of different texts that a categorical feature may have.
-MOST_CATEGORIES = 10_000
 
 
 def customer_segments(measures: DataFrame) -> DataFrame:
@@ -104,18 +102,12 @@ def numeric_as_double(frame: DataFrame, numeric: list[str]) -> DataFrame:
     return frame.withColumns({c: F.col(c).cast("double") for c in numeric})
 
 
-def refuse_wide(frame: DataFrame, categorical: list[str], most: int = MOST_CATEGORIES) -> None:
-    """Encoding makes a feature of every value, so a text id is no category."""
-    for column in categorical:
-        if frame.select(column).distinct().limit(most + 1).count() > most:
-            raise ValueError(f"column {column!r} has more than {most} different texts and cannot be a categorical feature")
-
-
 def preprocessor(frame: DataFrame, numeric: list[str], categorical: list[str]) -> PipelineModel:
     """Fit imputation, scaling and encoding, which end in one ``features`` vector.
 
     Numbers: missing to the mean, then scaled to 0..1.  Text: missing to the
-    commonest value, then one-hot; a value not seen here encodes as zeros.
+    commonest value, then one-hot; a value not seen here encodes as zeros.  There
+    may be any number of values, as their dictionary is a table.
     """
     stages, parts = [], []
     if numeric:
@@ -130,7 +122,6 @@ def preprocessor(frame: DataFrame, numeric: list[str], categorical: list[str]) -
         ]
         parts.append("scaled")
     if categorical:
-        refuse_wide(frame, categorical)
         texts = []
         for i, c in enumerate(categorical):
             fill = (most_frequent(frame, c) or "").replace("\\", "\\\\").replace("'", "\\'")
@@ -138,16 +129,12 @@ def preprocessor(frame: DataFrame, numeric: list[str], categorical: list[str]) -
         names = [f"cat_{i}" for i in range(len(categorical))]
         stages += [
             SQLTransformer(statement=f"SELECT *, {', '.join(texts)} FROM __THIS__"),
-            StringIndexer(
-                inputCols=names,
-                outputCols=[f"{n}_index" for n in names],
-                handleInvalid="keep",
-                stringOrderType="alphabetAsc",
-            ),
+            CategoryIndexer(inputCols=names, outputCols=[f"{n}_index" for n in names]),
             OneHotEncoder(
                 inputCols=[f"{n}_index" for n in names],
                 outputCols=[f"{n}_hot" for n in names],
                 dropLast=True,
+                handleInvalid="keep",
             ),
         ]
         parts += [f"{n}_hot" for n in names]

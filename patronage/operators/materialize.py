@@ -30,6 +30,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint where there is a folder for it; else ``df``, computed anew by each reader, so that nothing stays cached."""
+    return df.checkpoint(eager=True) if checkpoint_dir_ready(df.sparkSession) else df
+
+
 def release(*frames: DataFrame | None) -> None:
     """Free frames that were persisted; checkpoints belong to their folder."""
     for df in frames:

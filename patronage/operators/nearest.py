@@ -28,7 +28,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCo
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .materialize import checkpoint_dir_ready, materialize, release
+from .materialize import cut, materialize, release
 
 # What runs in tasks is sent by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -61,14 +61,14 @@ class NearestNeighbors(Estimator, _NearestParams, DefaultParamsWritable, Default
 
     def _fit(self, dataset: DataFrame) -> "NearestNeighborsModel":
         rows = dataset.select(vector_to_array(self.getFeaturesCol()).alias("vector"), F.col(self.getLabelCol()).cast("double").alias("label"))
-        points = _cut(rows.groupBy("vector", "label").agg(F.count("*").alias("n")))
+        points = cut(rows.groupBy("vector", "label").agg(F.count("*").alias("n")))
         size, most = self.getOrDefault("blockRows"), self.getOrDefault("mostPivots")
         kinds = points.count()
         wanted = max(1, min(most, math.ceil(kinds / size)))
         order = [F.xxhash64("vector"), "vector"]
         chosen = points.select("vector").distinct().orderBy(*order).limit(wanted).collect() if wanted > 1 else points.select("vector").limit(1).collect()
         pivots = _matrix([r.vector for r in chosen])
-        placed = _cut(in_cells(points, pivots))
+        placed = cut(in_cells(points, pivots))
         cells = placed.groupBy("cell").agg(F.count("*").alias("points"), F.sum("n").alias("rows"), F.min("away").alias("low"), F.max("away").alias("high")).orderBy("cell").collect()
         blocks = {r.cell: math.ceil(r.points / size) for r in cells}
         block = F.pmod(F.xxhash64("vector", "label"), _by_cell(blocks, "cell")).cast("int")
@@ -94,8 +94,8 @@ class NearestNeighborsModel(Model, _NearestParams, MLWritable, MLReadable):
         if len(self.cells) == 1:
             home = queries.select(F.lit(self.cells[0][0]).alias("cell"), "vector", F.lit(math.inf).alias("bound"))
             return nearest_rows(self._met(home, k), k)
-        queries = _cut(at_home(queries, self.pivots, self.cells, k))
-        first = _cut(nearest_rows(self._met(queries, k), k))
+        queries = cut(at_home(queries, self.pivots, self.cells, k))
+        first = cut(nearest_rows(self._met(queries, k), k))
         # The bound of each vector: the distance by which its own cell has k rows.
         upto = F.sum("n").over(Window.partitionBy("vector").orderBy("distance", "label").rowsBetween(Window.unboundedPreceding, 0))
         reached = first.withColumn("upto", upto).where(F.col("upto") >= k).groupBy("vector").agg(F.sqrt(F.min("distance")).alias("reached"))
@@ -126,7 +126,7 @@ class NearestNeighborsModel(Model, _NearestParams, MLWritable, MLReadable):
 
     def _met(self, queries: DataFrame, k: int) -> DataFrame:
         """What each vector finds in the blocks of the cells it is sent to; ``queries`` has cell, vector, bound."""
-        queries = _cut(queries)
+        queries = cut(queries)
         counts = {r.cell: r["count"] for r in queries.groupBy("cell").count().collect()}
         parts = {c: math.ceil(n / QUERY_BLOCK) for c, n in counts.items()}
         part = F.pmod(F.xxhash64("vector"), _by_cell(parts, "cell"))
@@ -174,11 +174,6 @@ def _by_cell(numbers: dict[int, int], column: str):
     return F.coalesce(F.create_map(*pairs)[F.col(column)], F.lit(1))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint where there is a folder for it; else computed anew by each reader, so that nothing stays cached."""
-    return df.checkpoint(eager=True) if checkpoint_dir_ready(df.sparkSession) else df
-
-
 def _matrix(rows: list) -> np.ndarray:
     return np.array(rows, float).reshape(len(rows), len(rows[0]) if rows else 0)
 

@@ -375,6 +375,56 @@ SELECT 'decision_tree' AS model, round(score, 6) AS best_score,
 FROM points ORDER BY round(score, 12) DESC, list_position({list(criteria)}, criterion), depth LIMIT 1"""
 
 
+def _predict() -> str:
+    """Gaussian naive Bayes learned from the orders' customers, asked about the customers of the line items.
+
+    One k-means run clusters the measures of both.  Features are scaled by the
+    range of the training rows.
+    """
+    other = _RFM.replace("span AS", "other_span AS").replace("rfm AS", "other_rfm AS").replace("FROM rows_, span", "FROM other_rows, other_span").replace("FROM rows_)", "FROM other_rows)")
+    vals = _RFM_VALS + _KEPT_VALS + "".join(f""" UNION ALL SELECT 'other {m}', customer, "{m}" FROM other_rfm""" for m in _MEASURES)
+    problems = _RFM_PROBLEMS + _KEPT_PROBLEM + "".join(f" UNION ALL SELECT 'other {m}', 'other {m}', 4" for m in _MEASURES)
+
+    def ranked(name: str, prefix: str, rfm: str) -> str:
+        return f"""{name}_ranks AS (
+  SELECT id AS customer,
+         max(CASE WHEN name = '{prefix}Recency' THEN (SELECT max(cluster) FROM fitted WHERE name = '{prefix}Recency') - cluster END) AS r,
+         max(CASE WHEN name = '{prefix}Frequency' THEN cluster END) AS f,
+         max(CASE WHEN name = '{prefix}Monetary' THEN cluster END) AS m
+  FROM fitted WHERE name IN ('{prefix}Recency', '{prefix}Frequency', '{prefix}Monetary') GROUP BY 1),
+{name} AS (
+  SELECT x.*, r AS "Recency cluster", f AS "Frequency cluster", m AS "Monetary cluster", r + f + m AS "RFM Overall Score",
+         CASE WHEN r + f + m > (SELECT max(r + f + m) // 3 FROM {name}_ranks) * 2 THEN 'High Value'
+              WHEN r + f + m > (SELECT max(r + f + m) // 3 FROM {name}_ranks) THEN 'Mid Value' ELSE 'Low Value' END AS "RFM Segment"
+  FROM {rfm} x JOIN {name}_ranks USING (customer))"""
+
+    hot = [f"""CASE WHEN "RFM Segment" = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END""" for v in _VALUE_SEGMENTS]
+    hot += [f"CASE WHEN customer_segment = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for v in _MARKET_SEGMENTS]
+    numbers = ", ".join(f'CAST("{c}" AS DOUBLE)' for c in _NUMBERS)
+    return f"""WITH RECURSIVE {_MAIN}, {_LINEITEM.replace("rows_ AS", "other_rows AS", 1)}, {_RFM}, {other}, {_kmeans(vals, problems, 4)},
+{ranked("own", "", "rfm")}, {ranked("other", "other ", "other_rfm")},
+train AS (
+  SELECT customer, cluster AS label, [{numbers}] AS numbers, [{", ".join(hot)}] AS hot
+  FROM own JOIN (SELECT DISTINCT customer, customer_segment FROM rows_) USING (customer) JOIN fitted ON name = 'kept' AND id = customer),
+asked AS (
+  SELECT customer, [{numbers}] AS numbers, [{", ".join(hot)}] AS hot
+  FROM other JOIN (SELECT DISTINCT customer, customer_segment FROM other_rows) USING (customer)),
+ranges AS (SELECT i, min(numbers[i]) AS low, max(numbers[i]) AS high FROM train, range(1, {len(_NUMBERS) + 1}) q(i) GROUP BY 1),
+train_cells AS (
+  SELECT customer, label, i, (numbers[i] - low) / (high - low) AS v FROM train, ranges
+  UNION ALL SELECT customer, label, i + {len(_NUMBERS)}, hot[i] FROM train, range(1, {len(hot) + 1}) q(i)),
+asked_cells AS (
+  SELECT customer, i, (numbers[i] - low) / (high - low) AS v FROM asked, ranges
+  UNION ALL SELECT customer, i + {len(_NUMBERS)}, hot[i] FROM asked, range(1, {len(hot) + 1}) q(i)),
+smoothing AS (SELECT 1e-9 * max(s2) AS eps FROM (SELECT i, var_pop(v) AS s2 FROM train_cells GROUP BY 1)),
+moments AS (SELECT label, i, avg(v) AS mu, var_pop(v) + max(eps) AS s2 FROM train_cells, smoothing GROUP BY 1, 2),
+priors AS (SELECT label, ln(count(*) / sum(count(*)) OVER ()) AS prior FROM train GROUP BY 1),
+likelihoods AS (
+  SELECT customer, label, max(prior) - sum(ln(2 * pi() * s2) / 2 + pow(v - mu, 2) / (2 * s2)) AS score
+  FROM asked_cells JOIN moments USING (i) JOIN priors USING (label) GROUP BY 1, 2)
+SELECT customer, CAST(arg_max(label, score) AS BIGINT) AS "Life Time Value Predicted" FROM likelihoods GROUP BY 1"""
+
+
 def _histogram(measure: str, digits: int) -> str:
     return f"""WITH {_MAIN}, {_RFM}, b AS (SELECT min("{measure}") AS low, max("{measure}") AS high FROM rfm),
 w AS (SELECT low, high, least(CAST(floor(30 * ("{measure}" - low) / (high - low)) AS BIGINT) + 1, 30) AS bin FROM rfm, b)
@@ -551,6 +601,7 @@ FROM points ORDER BY round(score, 12) DESC, k LIMIT 1""",
     **{f"ltv_scores_{family}": _summary(family, points) for family, points in _POINTS.items()},
     "ltv_scores_decision_tree": _tree_scores(),
     "ltv_scores_naive_bayes": _scores("naive_bayes", "{}", _BAYES_PREDICTIONS),
+    "ltv_predict": _predict(),
     "suite_result_sizes": f"WITH {_MAIN}, {_TYPED}\n"
     + "\nUNION ALL ".join(
         f"SELECT '{report}' AS report, '{name}' AS result, count(*) AS row_count FROM ({sql})"

@@ -110,13 +110,6 @@ def test_folds_are_even_within_labels(spark):
     assert len(answers) == 1
 
 
-def test_wide_text_is_no_category(spark):
-    df = spark.range(30).select(F.col("id").cast("string").alias("name"))
-    with pytest.raises(ValueError, match="different texts"):
-        ltv.refuse_wide(df, ["name"], most=20)
-    ltv.refuse_wide(df, ["name"], most=30)
-
-
 def test_nearest_neighbours_break_ties_by_label(spark):
     train = spark.createDataFrame([(Vectors.dense([1.0]), float(i % 2)) for i in range(400)], ["features", "label"])
     for parts in (1, 6):
