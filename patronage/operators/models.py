@@ -6,6 +6,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bayes import fold_accuracies
 from .boosting import BoostedTreesClassifier, Ensemble, model_of, train
+from .kernelmaps import KernelFeatures
 from .materialize import materialize, release
 from .nearest import NearestNeighbors
 from .trees import ExactTreeClassifier, ExactTreeModel, grow, hits
@@ -29,7 +31,7 @@ DEFAULT_GRIDS = {
     "logistic_regression": [{"C": 1}, {"C": 5}, {"C": 10}],
     "knn": [{"n_neighbors": 5}, {"n_neighbors": 10}, {"n_neighbors": 15}],
     "naive_bayes": [{}],
-    "svc": [{"C": 1}, {"C": 10}, {"C": 20}],
+    "svc": [{"C": c, "kernel": kernel} for c in (1, 10, 20) for kernel in ("linear", "poly", "rbf")],
     "decision_tree": [
         {"criterion": criterion, "max_depth": depth} for criterion in ("gini", "entropy") for depth in (5, 10, 15)
     ],
@@ -81,7 +83,10 @@ def _svc(p, shape):
     margin = LinearSVC(
         regParam=1 / (p["C"] * shape.rows), standardization=False, maxIter=p.get("max_iter", 100)
     )
-    return OneVsRest(classifier=margin)
+    kernel = p.get("kernel", "linear")
+    if kernel == "linear":
+        return OneVsRest(classifier=margin)
+    return Pipeline(stages=[KernelFeatures(kernel=kernel, seed=shape.seed), OneVsRest(classifier=margin, featuresCol="mapped")])
 
 
 def _decision_tree(p, shape):

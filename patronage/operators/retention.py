@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.calendar import SHORT_MONTH, month_label
 from ..functions.nulls import known, ratio
+from .materialize import materialize
 
 TOTAL, RETAINED, RATE = "Total unique customer", "Retained customer", "Retention rate"
 
@@ -31,11 +32,13 @@ def by_customer(measures: DataFrame, month_format: str = SHORT_MONTH, months: li
     The months become columns, so they must be known: pass them, or they are
     read first (month keys are bounded by the calendar, not by the data).
     """
-    long = activity_long(measures).withColumn("y_m", month_label("ym", month_format))
+    long = activity_long(measures)
     if months is None:
-        observed = measures.filter(known("customer", "ym")).select("ym").distinct()
-        ordered = observed.orderBy("ym").select(month_label("ym", month_format))
+        # The months come from the reduced frame, which is kept, so the source is read once.
+        long = materialize(long)
+        ordered = long.select("ym").distinct().orderBy("ym").select(month_label("ym", month_format))
         months = [row[0] for row in ordered.collect()]
+    long = long.withColumn("y_m", month_label("ym", month_format))
     if not months:
         return long.select("customer").distinct()
     return long.groupBy("customer").pivot("y_m", months).agg(F.max("active")).fillna(0, months)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from ..functions.nulls import known, total
 from .kmeans1d import Problem, fit, fit_mllib
+from .materialize import cut, materialize
 
 MEASURES = ("Recency", "Frequency", "Monetary")
-# Largest number of clusters whose ranks are broadcast.
+# Largest number of clusters that one task orders and whose ranks are broadcast.
 MOST_CLUSTERS = 10_000
 CLUSTERS = ("Recency cluster", "Frequency cluster", "Monetary cluster")
 SCORE, SEGMENT = "RFM Overall Score", "RFM Segment"
@@ -35,19 +38,20 @@ def customers(measures: DataFrame) -> DataFrame:
 def rfm(measures: DataFrame, with_revenue: bool = False) -> DataFrame:
     """Recency in days, frequency and revenue, each over the number of months.
 
-    The number of months and the latest date are one scalar subquery; months of
+    The source is read once: the number of months and the latest date are
+    observed while the customers are materialized (both may be observed twice
+    without harm, so a lost executor does not change them).  Months of
     purchases without a customer count, their dates do not.
     """
-    span = measures.agg(
-        F.struct(
-            F.count_distinct("ym").alias("months"),
-            F.max(F.when(known("customer"), F.col("last_date"))).alias("latest"),
-        )
-    ).scalar()
-    months = span["months"]
+    span = Observation()
+    latest = F.max(F.when(known("customer"), F.col("last_date"))).cast("string")
+    observed = measures.observe(span, F.size(F.collect_set("ym")).alias("months"), latest.alias("latest"))
+    frame = materialize(customers(observed))
+    frame.count()
+    months = F.lit(int(span.get["months"]))
     # Whole days by the wall clock: a difference of timestamps without zone.
-    days = F.extract(F.lit("DAY"), span["latest"] - F.col("MaxPurchaseDate"))
-    return customers(measures).select(
+    days = F.extract(F.lit("DAY"), F.lit(span.get["latest"]).cast("timestamp_ntz") - F.col("MaxPurchaseDate"))
+    return frame.select(
         "customer",
         "MaxPurchaseDate",
         F.try_divide(days, months).alias("Recency"),
@@ -75,21 +79,35 @@ def clustered(frame: DataFrame, clusters: tuple[int, int, int] = (4, 4, 4), meth
     )
 
 
-def rank_clusters(df: DataFrame, cluster: str, value: str, descending: bool = False) -> DataFrame:
+def rank_clusters(df: DataFrame, cluster: str, value: str, descending: bool = False, most: int = MOST_CLUSTERS) -> DataFrame:
     """Replace arbitrary cluster labels by 0..k-1 in the order of their mean ``value``.
 
-    For labels that come from elsewhere.  There may be at most MOST_CLUSTERS of
-    them; the frame of their ranks is then broadcast, so the rows stay where
-    they are.
+    For labels that come from elsewhere.  Up to ``most`` clusters are ordered by
+    one task and their ranks broadcast, so the rows stay where they are.  More
+    are ordered in ranges of their means, each of which continues where the one
+    before it ended, and joined by a shuffle.
     """
-    means = df.filter(known(cluster)).groupBy(cluster).agg(F.avg(value).alias("mean"))
-    order = F.col("mean").desc() if descending else F.col("mean").asc()
-    ranks = means.select(
-        cluster, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order, cluster)) - 1).alias("rank")
-    )
-    if means.limit(MOST_CLUSTERS + 1).count() > MOST_CLUSTERS:
-        raise ValueError(f"column {cluster!r} has more than {MOST_CLUSTERS} clusters")
-    return df.join(F.broadcast(ranks), cluster, "left").drop(cluster).withColumnRenamed("rank", cluster)
+    means = cut(df.filter(known(cluster)).groupBy(cluster).agg((F.avg(value) * (-1 if descending else 1)).alias("mean")))
+    clusters = means.count()
+    order = [F.col("mean").asc_nulls_first() if not descending else F.col("mean").asc_nulls_last(), cluster]
+    shares = [i / math.ceil(clusters / most) for i in range(1, math.ceil(clusters / most))]
+    if not shares:
+        ranks = means.select(cluster, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).alias("rank"))
+        return _ranked(df, F.broadcast(ranks), cluster)
+    # A bounded array, as a higher-order function cannot hold a subquery.
+    edges = F.array(*[F.lit(float(x)) for x in sorted(set(means.agg(F.percentile_approx("mean", shares, 100 * len(shares))).first()[0] or []))])
+    missing = F.lit(-1 if not descending else len(shares) + 1)
+    placed = means.withColumn("range", F.when(known("mean"), F.size(F.filter(edges, lambda e: e < F.col("mean")))).otherwise(missing))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range.
+    offsets = placed.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    ranks = placed.withColumn("place", place).join(F.broadcast(offsets), "range").select(cluster, (F.col("offset") + F.col("place") - 1).alias("rank"))
+    return _ranked(df, ranks, cluster)
+
+
+def _ranked(df: DataFrame, ranks: DataFrame, cluster: str) -> DataFrame:
+    return df.join(ranks, cluster, "left").drop(cluster).withColumnRenamed("rank", cluster)
 
 
 def scored(frame: DataFrame) -> DataFrame:
@@ -109,43 +127,63 @@ def _segment(score: Column, third: Column) -> Column:
     return F.when(score > third * 2, HIGH).when(score > third, MID).when(score.isNotNull(), LOW)
 
 
-def histogram(frame: DataFrame, measure: str, bins: int = 30) -> DataFrame:
-    """Counts of equal-width bins over the range of a measure; empty bins are absent."""
-    bounds = frame.agg(F.struct(F.min(measure).alias("low"), F.max(measure).alias("high"))).scalar()
-    low, high = bounds["low"], bounds["high"]
-    value = F.col(measure)
-    # The largest value belongs to the last bin, and a constant measure to the first.
-    bin_number = F.when(low == high, F.lit(1)).otherwise(
-        F.least(F.width_bucket(value, low, high, F.lit(bins)), F.lit(bins))
-    )
+def histograms(frame: DataFrame, measures: tuple[str, ...] = MEASURES, bins: int = 30) -> DataFrame:
+    """Counts of equal-width bins over the range of each measure, stacked; empty bins are absent.
+
+    One aggregation finds all ranges and one counts all bins.
+    """
+    ends = [f(m).alias(f"{end}{i}") for i, m in enumerate(measures) for end, f in (("low", F.min), ("high", F.max))]
+    bounds = frame.agg(F.struct(*ends)).scalar()
+
+    def cell(i: int, measure: str) -> Column:
+        low, high, value = bounds[f"low{i}"].cast("double"), bounds[f"high{i}"].cast("double"), F.col(measure)
+        # The largest value belongs to the last bin, and a constant measure to the first.
+        number = F.when(low == high, F.lit(1)).otherwise(F.least(F.width_bucket(value, low, high, F.lit(bins)), F.lit(bins)))
+        return F.when(known(measure), F.struct(F.lit(measure).alias("measure"), number.cast("long").alias("bin"), low.alias("low"), high.alias("high")))
+
+    cells = frame.select(F.explode(F.array(*[cell(i, m) for i, m in enumerate(measures)])).alias("cell")).where("cell is not null")
     return (
-        frame.filter(known(measure))
-        .select(bin_number.cast("long").alias("bin"), low.alias("low"), high.alias("high"))
-        .groupBy("bin", "low", "high")
+        cells.select("cell.*")
+        .groupBy("measure", "bin", "low", "high")
         .agg(F.count("*").alias("count"))
         .select(
-            F.lit(measure).alias("measure"),
+            "measure",
             "bin",
             (F.col("low") + (F.col("bin") - 1) * (F.col("high") - F.col("low")) / bins).alias("bin_start"),
             (F.col("low") + F.col("bin") * (F.col("high") - F.col("low")) / bins).alias("bin_end"),
             "count",
         )
         .repartition(1)
-        .sortWithinPartitions("bin")
+        .sortWithinPartitions("measure", "bin")
     )
 
 
-def trend(segment: DataFrame, x: str, y: str) -> DataFrame:
-    """Least-squares line of ``y`` on ``x`` within each value segment."""
-    return (
-        segment.groupBy(SEGMENT)
-        .agg(
+def histogram(frame: DataFrame, measure: str, bins: int = 30) -> DataFrame:
+    """:func:`histograms` of one measure."""
+    return histograms(frame, (measure,), bins)
+
+
+def trends(segment: DataFrame, pairs: tuple[tuple[str, str], ...] = PAIRS) -> DataFrame:
+    """Least-squares lines of the second measure on the first within each value segment, for all pairs from one pass."""
+    lines = [
+        F.struct(
+            F.lit(x).alias("x"),
+            F.lit(y).alias("y"),
             F.regr_slope(y, x).alias("slope"),
             F.regr_intercept(y, x).alias("intercept"),
             F.regr_r2(y, x).alias("r2"),
-            F.count("*").alias("points"),
         )
-        .select(F.lit(x).alias("x"), F.lit(y).alias("y"), SEGMENT, "slope", "intercept", "r2", "points")
+        for x, y in pairs
+    ]
+    grouped = segment.groupBy(SEGMENT).agg(F.array(*lines).alias("lines"), F.count("*").alias("points"))
+    stacked = grouped.select(SEGMENT, "points", F.explode("lines").alias("line"))
+    return (
+        stacked.select("line.x", "line.y", SEGMENT, "line.slope", "line.intercept", "line.r2", "points")
         .repartition(1)
-        .sortWithinPartitions(SEGMENT)
+        .sortWithinPartitions("x", "y", SEGMENT)
     )
+
+
+def trend(segment: DataFrame, x: str, y: str) -> DataFrame:
+    """:func:`trends` of one pair."""
+    return trends(segment, ((x, y),))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..operators import kmeans1d
 from ..operators.cohort import INDEXES
-from .catalog import DAYS, KEEP_SEGMENTS, MONTHS, YEARS
+from .catalog import CHART_FRAMES, DATA_FRAMES, DAYS, KEEP_SEGMENTS, MONTHS, YEARS
 
 
 def _in(values) -> str:
@@ -425,6 +425,11 @@ likelihoods AS (
 SELECT customer, CAST(arg_max(label, score) AS BIGINT) AS "Life Time Value Predicted" FROM likelihoods GROUP BY 1"""
 
 
+def _histograms() -> str:
+    each = (_histogram(m, 2).partition(f"WITH {_MAIN}, {_RFM}, ")[2] for m in _MEASURES)
+    return f"WITH {_MAIN}, {_RFM} " + " UNION ALL ".join(f"SELECT * FROM (WITH {sql})" for sql in each)
+
+
 def _histogram(measure: str, digits: int) -> str:
     return f"""WITH {_MAIN}, {_RFM}, b AS (SELECT min("{measure}") AS low, max("{measure}") AS high FROM rfm),
 w AS (SELECT low, high, least(CAST(floor(30 * ("{measure}" - low) / (high - low)) AS BIGINT) + 1, 30) AS bin FROM rfm, b)
@@ -559,6 +564,7 @@ FROM orders JOIN means ON p = o_orderpriority""",
     "rfm_histogram_recency": _histogram("Recency", 6),
     "rfm_histogram_frequency": _histogram("Frequency", 6),
     "rfm_histogram_monetary": _histogram("Monetary", 2),
+    "rfm_histograms": _histograms(),
     "rfm_trends": f"""{_SEGMENTED} {_trend("Recency", "Frequency")} UNION ALL {_trend("Recency", "Monetary")}
 UNION ALL {_trend("Frequency", "Monetary")}""",
     "ltv_feature_frame": f"""{_SEGMENTED}
@@ -608,3 +614,19 @@ FROM points ORDER BY round(score, 12) DESC, k LIMIT 1""",
         for report, name, sql in _RESULTS
     ),
 }
+
+
+def _summed(frames: list) -> str:
+    """Rows and the sum of all values of the frames, from the statements of the queries that give them."""
+    rows = []
+    for report, name, query, columns in frames:
+        query, *parts = query.split("/")
+        where = " AND ".join("{} = '{}'".format(*part.split("=")) for part in parts) or "true"
+        whole = " + ".join(f'coalesce(CAST("{c}" AS DOUBLE), 0)' for c in columns or _MONTHS)
+        rows.append(f"""SELECT '{report}' AS report, '{name}' AS result, count(*) AS row_count, round(sum({whole}), 2) AS total
+FROM ({ORACLE[query]}) WHERE {where}""")
+    return "\nUNION ALL ".join(rows)
+
+
+ORACLE["suite_checksums"] = _summed(DATA_FRAMES)
+ORACLE["suite_charts"] = _summed(CHART_FRAMES)

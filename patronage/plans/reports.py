@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import basic, cohort, growth, new_existing, retention, rfm
 from ..operators.materialize import materialize
@@ -178,7 +178,8 @@ class RFMSegmentation(Report):
 
     @cached_property
     def customers(self) -> DataFrame:
-        return materialize(rfm.rfm(self.measures, with_revenue=True))
+        """Read once from the source, and materialized."""
+        return rfm.rfm(self.measures, with_revenue=True)
 
     @cached_property
     def segmented(self) -> DataFrame:
@@ -188,12 +189,22 @@ class RFMSegmentation(Report):
 
     def _data(self):
         return {
-            "rfm": lambda: rfm.rfm(self.measures),
+            "rfm": lambda: self.customers.drop(rfm.REVENUE),
             "segment": lambda: self.segmented.drop(rfm.REVENUE),
         }
 
     def _charts(self):
-        charts = {m.lower(): (lambda m=m: rfm.histogram(self.customers, m)) for m in rfm.MEASURES}
+        charts = {m.lower(): (lambda m=m: self.histograms.where(F.col("measure") == m)) for m in rfm.MEASURES}
         for x, y in rfm.PAIRS:
-            charts[f"{x}_{y}".lower()] = lambda x=x, y=y: rfm.trend(self.segmented, x, y)
+            charts[f"{x}_{y}".lower()] = lambda x=x, y=y: self.trends.where((F.col("x") == x) & (F.col("y") == y))
         return charts
+
+    @cached_property
+    def histograms(self) -> DataFrame:
+        """All bins of all measures, from one pass; at most 30 each."""
+        return materialize(rfm.histograms(self.customers))
+
+    @cached_property
+    def trends(self) -> DataFrame:
+        """All trend lines, from one pass; one for each pair and segment."""
+        return materialize(rfm.trends(self.segmented))

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from ..operators.materialize import checkpoint_dir_ready
 from ..sources import Base
 from .predictor import LifetimeValuePredictor
 from .reports import BasicInfo, Cohort, Growth, NewExisting, Retention, RFMSegmentation
 
 
 class FullAnalysis:
-    """Every report plus the predictor, sharing one cached activity frame.
+    """Every report plus the predictor, sharing one activity frame.
 
-    The source is read and shuffled once, to customer, segment and month.  Call
-    :meth:`close`, or use it as a context manager, to free the cache.
+    The source is read and shuffled once, to customer, segment and month.  The
+    frame is a bucketed table if ``stored``, which is the default where the
+    session names a checkpoint folder, as on a cluster; else it is cached.
+    Call :meth:`close`, or use it as a context manager, to free it.
     """
 
-    def __init__(self, base: Base):
-        self.base = base.require_dates().cache()
+    def __init__(self, base: Base, stored: bool | None = None):
+        stored = checkpoint_dir_ready(base.spark) if stored is None else stored
+        self.base = base.require_dates().store() if stored else base.require_dates().cache()
         self.reports = {
             "Basic Info": BasicInfo(base),
             "Growth": Growth(base),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -50,6 +51,7 @@ class Base:
         self._segments = segments
         self._broadcast_segments = broadcast_segments
         self._cached = None
+        self._table = None
         self.entity = entity
         self.has_dates = dates is not None
         self.month_format = month_format
@@ -155,10 +157,27 @@ class Base:
             self._cached = by_customer.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
+    def store(self, name: str | None = None, buckets: int | None = None) -> "Base":
+        """Keep the activity as a table of the session's catalog, bucketed and sorted by customer.
+
+        Like :meth:`cache`, but the table lies in the shared warehouse: losing
+        executors loses nothing, and metrics read neither the source nor
+        anything of it again.  ``unpersist`` drops the table.
+        """
+        if self._cached is None:
+            buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self._table = name or f"activity_{uuid.uuid4().hex}"
+            by_customer = self.activity.repartition(buckets, "customer")
+            by_customer.write.format("parquet").bucketBy(buckets, "customer").sortBy("customer").saveAsTable(self._table)
+            self._cached = self.spark.table(self._table)
+        return self
+
     def unpersist(self) -> None:
-        if self._cached is not None:
+        if self._table is not None:
+            self.spark.sql(f"DROP TABLE IF EXISTS `{self._table}`")
+        elif self._cached is not None:
             self._cached.unpersist()
-            self._cached = None
+        self._cached = self._table = None
 
     def __enter__(self) -> "Base":
         return self.cache()

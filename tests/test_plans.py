@@ -2,11 +2,13 @@
 
 import os
 import re
+import shutil
 
 import pytest
 
-from patronage import Dates, Entity, Growth, NewExisting, Retention, Sale, SegmentTable, bind
+from patronage import Dates, Entity, FullAnalysis, Growth, NewExisting, Retention, RFMSegmentation, Sale, SegmentTable, bind
 from patronage.operators import cohort, new_existing, rfm
+from patronage.operators import materialize as materialize_module
 from patronage.operators.materialize import checkpoint_dir_ready
 
 from conftest import frame
@@ -78,6 +80,73 @@ def test_cached_base_needs_no_shuffle_by_customer(make_base):
     base.unpersist()
 
 
+def metrics_of(base):
+    m = base.measures
+    typed = new_existing.typed_activity(m)
+    return [
+        rfm.customers(m),
+        new_existing.month_new_percent(typed),
+        new_existing.segment_count(typed),
+        Retention(base).data["by_month"],
+        cohort.cohort_long(m),
+    ]
+
+
+def test_stored_base_is_bucketed_and_outlives_its_source(spark, tmp_path):
+    path = str(tmp_path / "gone")
+    frame(spark, ROWS).write.parquet(path)
+    base = bind(spark.read.parquet(path), Entity("customer", segment="segment"), Sale("sale"), Dates("date"))
+    plain = [sorted(map(str, df.collect())) for df in metrics_of(base)]
+    base.store(buckets=4)
+    assert not base._cached.storageLevel.useMemory
+    # Nothing is kept by executors: with the source gone, all comes from the table.
+    shutil.rmtree(path)
+    for df, want in zip(metrics_of(base), plain):
+        assert not any("customer#" in e[1] for e in exchanges(df))
+        assert sorted(map(str, df.collect())) == want
+    name = base._table
+    base.unpersist()
+    assert not spark.catalog.tableExists(name)
+
+
+def test_suite_on_a_stored_base(make_base):
+    with FullAnalysis(make_base(ROWS), stored=True) as suite:
+        assert suite.base._table is not None
+        assert suite.analysis_data()["Basic Info data"]["customer_revenue"].count() == 7
+
+
+def test_segmentation_reads_the_source_once(spark, parquet):
+    """Customers, months, latest date, histograms and trends come from one scan."""
+    base = bind(parquet, Entity("customer", segment="segment"), Sale("sale"), Dates("date"))
+    segmentation = RFMSegmentation(base, 2, 2, 2)
+    plans = []
+    whole = materialize_module.materialize
+
+    def recorded(df):
+        plans.append(physical(df))
+        return whole(df)
+
+    rfm.materialize, kept = recorded, rfm.materialize
+    try:
+        frame_ = segmentation.customers
+    finally:
+        rfm.materialize = kept
+    assert len(plans) == 1 and plans[0].count("FileScan") == 1
+    for df in (frame_, rfm.histograms(frame_), rfm.trends(segmentation.segmented)):
+        text = physical(df).split("InMemoryRelation")[0]
+        assert "FileScan" not in text
+    assert segmentation.data["rfm"].count() == 7
+    assert len(exchanges(rfm.histograms(frame_))) <= 4
+
+
+def test_more_clusters_than_a_task_orders(spark):
+    df = spark.range(500).selectExpr("cast(pmod(id * 37, 100) as string) as c", "cast(id % 100 as double) as v")
+    for descending in (False, True):
+        few = rfm.rank_clusters(df, "c", "v", descending)
+        many = rfm.rank_clusters(df, "c", "v", descending, most=7)
+        assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
 def test_windows_run_on_reduced_rows(make_base):
     base = make_base(ROWS)
     plan = physical(new_existing.typed_activity(base.measures))
