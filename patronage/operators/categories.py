@@ -35,8 +35,8 @@ def numbered_values(frame: DataFrame, column: str, ranges: int = RANGES, range_v
         # A random but repeatable sample of the values; those up to a bound belong to its range.
         chosen = values.orderBy(F.xxhash64("value"), "value").limit(wanted)
         bounds = chosen.agg(F.array_sort(F.collect_list("value")).alias("bounds"))
-        # One array of at most RANGES values.
-        placed = values.select("value", _upto(bounds.scalar(), F.col("value")).alias("range"))
+        # One row with an array of at most RANGES values, beside every value (a higher-order function cannot hold a subquery).
+        placed = values.join(F.broadcast(bounds)).select("value", _upto(F.col("bounds"), F.col("value")).alias("range"))
     else:
         placed = values.select("value", F.lit(0).alias("range"))
     counts = placed.groupBy("range").agg(F.count("*").alias("n"))

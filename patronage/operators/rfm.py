@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.nulls import known, total
 from .kmeans1d import Problem, fit, fit_mllib
@@ -24,34 +24,30 @@ PAIRS = (("Recency", "Frequency"), ("Recency", "Monetary"), ("Frequency", "Monet
 
 def customers(measures: DataFrame) -> DataFrame:
     """Last purchase, dated purchases and revenue of each customer."""
-    return (
-        measures.filter(known("customer"))
-        .groupBy("customer")
-        .agg(
-            F.max("last_date").alias("MaxPurchaseDate"),
-            F.sum("n_dates").alias("purchases"),
-            total("sale").alias(REVENUE),
-        )
+    return _by_customer(measures.filter(known("customer")))
+
+
+def _by_customer(measures: DataFrame, *added: Column) -> DataFrame:
+    return measures.groupBy("customer").agg(
+        F.max("last_date").alias("MaxPurchaseDate"), F.sum("n_dates").alias("purchases"), total("sale").alias(REVENUE), *added
     )
 
 
 def rfm(measures: DataFrame, with_revenue: bool = False) -> DataFrame:
     """Recency in days, frequency and revenue, each over the number of months.
 
-    The source is read once: the number of months and the latest date are
-    observed while the customers are materialized (both may be observed twice
-    without harm, so a lost executor does not change them).  Months of
-    purchases without a customer count, their dates do not.
+    The source is read once, to a materialized row per customer with the set of
+    its months (bounded by the calendar).  The number of months and the latest
+    date come from those rows.  Months of purchases without a customer count,
+    their dates do not.
     """
-    span = Observation()
-    latest = F.max(F.when(known("customer"), F.col("last_date"))).cast("string")
-    observed = measures.observe(span, F.size(F.collect_set("ym")).alias("months"), latest.alias("latest"))
-    frame = materialize(customers(observed))
-    frame.count()
-    months = F.lit(int(span.get["months"]))
+    frame = materialize(_by_customer(measures, F.collect_set("ym").alias("months")))
+    each = frame.select("customer", "MaxPurchaseDate", F.explode_outer("months").alias("ym"))
+    span = each.agg(F.count_distinct("ym").alias("months"), F.max(F.when(known("customer"), F.col("MaxPurchaseDate")).cast("string")).alias("latest")).first()
+    months = F.lit(span.months)
     # Whole days by the wall clock: a difference of timestamps without zone.
-    days = F.extract(F.lit("DAY"), F.lit(span.get["latest"]).cast("timestamp_ntz") - F.col("MaxPurchaseDate"))
-    return frame.select(
+    days = F.extract(F.lit("DAY"), F.lit(span.latest).cast("timestamp_ntz") - F.col("MaxPurchaseDate"))
+    return frame.filter(known("customer")).select(
         "customer",
         "MaxPurchaseDate",
         F.try_divide(days, months).alias("Recency"),
