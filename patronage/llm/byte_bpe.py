@@ -20,6 +20,8 @@ bounded by bytes and begun anew when it is full, also in the midst of a match.
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import hashlib
 import sys
 import types
@@ -234,11 +236,22 @@ class Words(dict):
         return known
 
 
+def give_back() -> None:
+    """Return to the system what earlier tasks of this worker have freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 def encoder_of(path: str, pattern: str, memory: int = MEMORY) -> Encoder:
     """An encoder that lasts as long as the worker process, whose tasks share what it has made."""
     held = sys.modules.setdefault("patronage_encoders", types.ModuleType("patronage_encoders"))
     key = f"{path}\n{pattern}\n{memory}"
     if not hasattr(held, key):
+        give_back()
         setattr(held, key, Encoder(path, pattern, memory))
     return getattr(held, key)
 

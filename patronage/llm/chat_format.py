@@ -97,6 +97,7 @@ def derived_pairs(conversations: DataFrame) -> DataFrame:
 
 
 def op8_chat_format(spark, sf_dir: str) -> DataFrame:
+    """A pair for every conversation of ``conversations`` with an id; see ``derived_pairs`` and ``format_preferences``."""
     return format_preferences(derived_pairs(table(spark, sf_dir, "conversations")))
 
 
@@ -119,12 +120,16 @@ WITH turns AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id
 lasts AS (
   SELECT conv_id, l.turn AS last_turn, l.text AS last_text
   FROM (SELECT conv_id, max(struct_pack(turn := turn, text := coalesce(text, ''))) AS l FROM turns WHERE role = 'assistant' GROUP BY conv_id)),
-ends AS (SELECT a.conv_id, a.last_turn, b.last_text AS foreign_text FROM lasts a JOIN lasts b ON b.conv_id = a.conv_id + 1),
+ends AS (
+  SELECT a.conv_id, a.last_turn, coalesce(b.last_text, '') AS foreign_text, true AS replied
+  FROM lasts a LEFT JOIN lasts b ON b.conv_id = a.conv_id + 1),
 sides AS (
-  SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM turns JOIN ends USING (conv_id)
+  SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM turns
   UNION ALL
-  SELECT conv_id, 'rejected', turn, role, CASE WHEN turn = last_turn AND role = 'assistant' THEN foreign_text ELSE text END
-  FROM turns JOIN ends USING (conv_id) WHERE turn <= last_turn),
+  SELECT conv_id, 'rejected', turn, role,
+         CASE WHEN turn IS NOT DISTINCT FROM last_turn AND role = 'assistant' THEN foreign_text ELSE text END
+  FROM turns LEFT JOIN ends USING (conv_id)
+  WHERE replied IS NULL OR turn <= last_turn OR (turn IS NULL AND last_turn IS NULL)),
 filled AS (SELECT pair_id, side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM sides),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS place FROM filled),
 aligned AS (

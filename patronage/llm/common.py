@@ -28,11 +28,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+# Rows of a narrow table that one task writes, about.
+FILE_ROWS = 200_000
+
+
+def files(rows: int) -> int:
+    """Files for a narrow table of at most so many rows."""
+    return -(-max(rows, 1) // FILE_ROWS)
+
+
+def written(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, survives executors.
 
-    Each call writes to a path of its own; the folder's owner clears it.
+    Each call writes to a path of its own; the folder's owner clears it.  Where
+    a bound of the rows is known, ``parts`` keeps a small table from being
+    scattered over a file of a few rows for every shuffle partition.
     """
+    if parts is not None:
+        df = df.coalesce(parts)
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -111,6 +111,33 @@ class Item:
         return found[0], max(0, found[1] - len(self.text)), found[1]
 
 
+def start_of(pattern: str, text: str, end: int, distance: int) -> int:
+    """Where the part of ``text`` that ends at ``end`` begins whose distance from the pattern is ``distance``.
+
+    Backwards, in a band as wide as the distance allows.
+    """
+    n, far = len(pattern), distance + 1
+    # Costs of the pattern's last i characters against the last j of the text, j - i from -distance to distance.
+    row = [abs(k) if k >= 0 else far for k in range(-distance, distance + 1)]
+    for i in range(1, n + 1):
+        new = []
+        for k in range(-distance, distance + 1):
+            j = i + k
+            if j < 0 or j > end:
+                new.append(far)
+                continue
+            cost = row[k + distance + 1] + 1 if k < distance else far  # a character of the pattern is left out
+            if j and new and new[-1] + 1 < cost:
+                cost = new[-1] + 1  # one of the text is
+            if j:
+                cost = min(cost, row[k + distance] + (pattern[n - i] != text[end - j]))
+            new.append(min(cost, far))
+        row = new
+    # The one that is closest in length.
+    best = min((abs(k), k) for k in range(-distance, distance + 1) if row[k + distance] == distance)[1]
+    return end - n - best
+
+
 class Matcher:
     """All items of a block."""
 
@@ -128,10 +155,11 @@ class Matcher:
         self.automaton.make_automaton()
 
     def find(self, text: str, any_one: bool = False) -> dict[int, tuple[int, int, int]]:
-        """The best (distance, start, end) of each item that occurs, by its key."""
+        """A (distance, start, end) of each item that occurs, by its key: the best of the occurrences that do not overlap the first."""
         best: dict[int, tuple[int, int, int]] = {}
         if not self.items:
             return best
+        of: dict[int, int] = {}
         text = normal(text)
         covered: dict[int, int] = {}
         for last, (length, own) in self.automaton.iter(text):
@@ -144,10 +172,10 @@ class Matcher:
                     continue
                 covered[i] = found[2]
                 if item.key not in best or found[0] < best[item.key][0]:
-                    best[item.key] = found
+                    best[item.key], of[item.key] = found, i
                 if any_one:
                     return best
-        return best
+        return {key: (d, start_of(self.items[of[key]].text, text, end, d), end) for key, (d, _, end) in best.items()}
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, str]]]:

@@ -177,11 +177,14 @@ def scan_secrets(
     copied_owners: int = COPIED_OWNERS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``keep``, spans, n_owned, n_copied.
+    """One row per row of ``docs``: ``keep``, spans, n_owned, n_copied, n_repositories.
 
     ``spans`` holds structs (start, kind, end, value_hash) sorted by start and
     kind; kinds number KINDS.  Owners default to the column ``source``,
-    repositories to ``source`` and ``lang``.  A null owner or repository counts
+    repositories to ``source`` and ``lang``.  A value with several owners is a
+    copied example; ``n_repositories`` tells how widely the most widespread
+    value of the row is copied, within its owner or beyond (0 without values).
+    A null owner or repository counts
     as one of its own.  Texts that are null or empty have no spans; repeated
     rows each get their spans; an empty table gives an empty result.  Columns
     not in ``keep`` are ignored whatever their names.
@@ -192,14 +195,16 @@ def scan_secrets(
     each = found.select(
         "__row", F.col("__owner").alias("owner"), F.col("__repository").alias("repository"), F.explode(F.concat("__base", "__wide")).alias("s")
     ).select("__row", "owner", "repository", "s.*")
-    copied = value_owners(each).where(F.col("n_owners") >= copied_owners).select("value_hash", F.lit(True).alias("copied"))
+    spread = value_owners(each).where((F.col("n_owners") >= copied_owners) | (F.col("n_repositories") > 1))
+    copied = spread.select("value_hash", "n_repositories", (F.col("n_owners") >= copied_owners).alias("copied"))
     # A copied value may be in a third of all rows: its occurrences are dealt over the salts.
     salted = copied.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     judged = each.withColumn("salt", F.pmod(F.col("__row"), F.lit(salts)).cast("int")).join(salted, ["value_hash", "salt"], "left")
-    owned = F.col("copied").isNull()
+    owned = ~F.coalesce("copied", F.lit(False))
     added = F.when(owned & (F.col("kind") == 3), F.struct("start", "kind", "end", "value_hash"))
     judged_rows = judged.groupBy("__row").agg(
-        F.collect_list(added).alias("__added"), F.count_if(owned).alias("n_owned"), F.count_if(~owned).alias("n_copied")
+        F.collect_list(added).alias("__added"), F.count_if(owned).alias("n_owned"), F.count_if(~owned).alias("n_copied"),
+        F.max(F.coalesce("n_repositories", F.lit(1))).alias("n_repositories"),
     )
     joined = found.join(judged_rows, "__row", "left")
     nothing = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,value_hash:string>>)")
@@ -208,10 +213,12 @@ def scan_secrets(
         F.array_sort(F.concat(F.col("__base"), F.coalesce(F.col("__added"), nothing))).alias("spans"),
         F.coalesce("n_owned", F.lit(0)).alias("n_owned"),
         F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.coalesce("n_repositories", F.lit(0)).cast("long").alias("n_repositories"),
     )
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """The secrets of every text of ``documents``; see ``scan_secrets``."""
     found = scan_secrets(table(spark, sf_dir, "documents"))
     number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return found.select(
@@ -223,6 +230,7 @@ def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
         described(F.col("spans")).alias("spans"),
         "n_owned",
         "n_copied",
+        "n_repositories",
     )
 
 
@@ -251,10 +259,11 @@ WITH texts AS (
 {located_sql("wide", WIDE, 3, 0, "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')")},
 spans AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hexes UNION ALL SELECT * FROM wide),
 owners AS (
-  SELECT value, count(DISTINCT owner) AS n_owners FROM spans JOIN texts USING (row) GROUP BY value),
-judged AS (SELECT spans.*, n_owners >= {COPIED_OWNERS} AS copied FROM spans JOIN owners USING (value)),
+  SELECT value, count(DISTINCT owner) AS n_owners, count(DISTINCT struct_pack(o := owner, r := repository)) AS repositories
+  FROM spans JOIN texts USING (row) GROUP BY value),
+judged AS (SELECT spans.*, n_owners >= {COPIED_OWNERS} AS copied, repositories FROM spans JOIN owners USING (value)),
 named AS (
-  SELECT row, kind, s, copied,
+  SELECT row, kind, s, copied, repositories,
          ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s::BIGINT || ':' || e::BIGINT AS span
   FROM judged),
 summed AS (
@@ -262,10 +271,12 @@ summed AS (
          count(*) FILTER (kind = 2) AS n_hex,
          string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
          string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3 OR NOT copied) AS spans,
-         count(*) FILTER (NOT copied) AS n_owned, count(*) FILTER (copied) AS n_copied
+         count(*) FILTER (NOT copied) AS n_owned, count(*) FILTER (copied) AS n_copied,
+         max(repositories) AS n_repositories
   FROM named GROUP BY row)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied
+       coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied,
+       coalesce(n_repositories, 0) AS n_repositories
 FROM texts LEFT JOIN summed USING (row)
 """

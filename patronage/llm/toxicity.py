@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -367,13 +367,20 @@ def logistic(x: np.ndarray, y: np.ndarray, sizes: dict[int, int]) -> tuple[float
     return float(w[0] / scale), float(w[1]), float(loss)
 
 
+def astuple_shallow(model: Model) -> tuple:
+    return tuple(getattr(model, f.name) for f in fields(model))
+
+
 def evidence_of(model: Model, spark):
-    """The evidence as a column function; the model is broadcast, its size is bounded."""
-    shared = spark.sparkContext.broadcast(model)
+    """The evidence as a column function; the model is broadcast, its size is bounded.
+
+    As arrays: a broadcast object would need this package on the executors.
+    """
+    shared = spark.sparkContext.broadcast(astuple_shallow(model))
 
     @F.arrow_udf("double")
     def evidence(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        of = shared.value.evidence()
+        of = Model(*shared.value).evidence()
         for column in columns:
             yield pa.array(of(column))
 
@@ -399,6 +406,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents`` by a model of the labelled rows that are not held out; see ``fit`` and ``toxicity``."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity(model, spark, whole_text()).alias("score"))

@@ -17,6 +17,16 @@ def distance_within(pattern, text):
     return best
 
 
+def whole_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
 def edited(rng, text, edits):
     out = list(text)
     for _ in range(edits):
@@ -39,7 +49,17 @@ def test_matches_exactly_what_is_within_the_budget():
         found = matcher.find(text)
         assert (1 in found) == (least <= most)
         if found:
-            assert Pattern(ITEM).best(text, most)[0] == least <= found[1][0] <= most
+            distance, start, end = found[1]
+            assert Pattern(ITEM).best(text, most)[0] == least <= distance <= most
+            assert whole_distance(ITEM, text[start:end]) == distance
+
+
+def test_one_id_on_two_texts():
+    other = "another item with words of its own that stand for themselves in every way"
+    matcher = Matcher([(1, ITEM), (1, other)], 0.1)
+    for text in (ITEM, other):
+        distance, start, end = matcher.find(normal(f"a {text[:-2]}x here"))[1]
+        assert distance <= 2 and start == 2
 
 
 def test_leaks_and_blocks(spark, make_docs):

@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from patronage.llm import near_dedup
 from patronage.llm.near_dedup import components, drop_near_copies, likely_similarity, near_groups, registers
 
 from .conftest import by_id
@@ -50,6 +51,35 @@ def test_equals_brute_force(make_docs):
     assert got == brute(rows, 2, 80)
 
 
+def test_large_buckets_in_blocks(make_docs, monkeypatch):
+    """A group whose copies are partly too far from each other, all of it compared in small blocks."""
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    monkeypatch.setattr(near_dedup, "TURNS", 0)
+    monkeypatch.setattr(near_dedup, "OUTSIDERS", 7)
+    monkeypatch.setattr(near_dedup, "MEMBERS", 9)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rng.choice([1, 4, 7, 9, 11])):
+            words[rng.randrange(90)] = f"e{rng.randint(0, 60)}"
+        rows.append((i, " ".join(words)))
+    got = by_id(near_groups(make_docs(rows, 3)), "n_shingles", "component_id", "kept")
+    want = brute(rows, 2, 80)
+    assert got == want and 5 < len({c for _, c, _ in want.values()}) < 150
+
+
+def test_one_id_on_two_texts_and_a_long_text(make_docs):
+    long = " ".join(f"v{i}" for i in range(30_000))
+    rows = [(5, "a b c d e f g h i j k"), (5, "other words that stand for themselves here"), (7, "a b c d e f g h i j k l"), (7, "a b c d e f g h i j k l"), (3, long), (9, long + " end")]
+    docs = make_docs(rows)
+    got = sorted(tuple(r) for r in near_groups(docs).collect())
+    assert got == [(3, 29_999, 3, True), (5, 6, 5, True), (5, 10, 5, True), (7, 11, 5, False), (7, 11, 5, False), (9, 30_000, 3, False)]
+    left = sorted((r.doc_id, len(r.text)) for r in drop_near_copies(docs, k=2).collect())
+    assert left == sorted([(3, len(long)), (5, len(rows[0][1])), (5, len(rows[1][1]))])
+
+
 def test_drop_five_words_and_odd_rows(make_docs):
     rows = [(2, "a b c d e f g"), (1, "A b c d e f g"), (1, "a B c d e f g"), (3, "x"), (None, "a b c d e f g"), (4, None)]
     docs = make_docs(rows)

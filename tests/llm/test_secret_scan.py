@@ -37,5 +37,13 @@ def test_base_spans_and_ownership(make_docs):
     assert not wide[6] and not wide[7] and [(s.start, s.end) for s in wide[8]] == [(4, 25)]
 
 
+def test_repositories(spark):
+    rows = [(1, KEY, "a", "en"), (2, KEY, "a", "de"), (3, KEY, "a", "de"), (4, "none", "b", "en"), (5, "Zx9Zx9Zx9Zx9Zx9Zx9Zx9", "b", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: (len(r.spans), r.n_owned, r.n_copied, r.n_repositories) for r in scan_secrets(docs).collect()}
+    # One owner's key stays live-looking, however many of its repositories have it.
+    assert got == {1: (1, 1, 0, 2), 2: (1, 1, 0, 2), 3: (1, 1, 0, 2), 4: (0, 0, 0, 0), 5: (1, 1, 0, 1)}
+
+
 def test_empty(make_docs):
     assert scan_secrets(make_docs(TEXTS).where("false")).count() == 0

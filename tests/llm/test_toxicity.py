@@ -69,3 +69,22 @@ def test_backoff_counts_cover_every_unit_of_every_document(spark, make_docs):
 
 def test_models_are_bounded_by_the_sample_alone():
     assert SAMPLE == 4096 and "bits" not in inspect.signature(fit).parameters
+
+
+def test_broadcast_needs_no_package(spark, monkeypatch):
+    """What is broadcast holds arrays and numbers only, as executors may lack this package."""
+    import pickletools
+
+    import numpy as np
+
+    from patronage.llm import toxicity as T
+
+    sent = []
+    whole = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or whole(value))
+    model = T.Model(np.zeros(0, np.uint64), np.zeros((2, 0)), np.zeros(2), np.zeros((2, 0)), np.zeros(2), np.zeros(0, np.uint64), np.zeros((2, 0)))
+    T.evidence_of(model, spark)
+    import pickle
+
+    names = [str(arg) for _, arg, _ in pickletools.genops(pickle.dumps(sent[-1])) if arg is not None]
+    assert sent and not any("patronage" in n for n in names)
