@@ -19,7 +19,7 @@ from patronage.llm.toxicity import drop_toxic
 
 
 # The encoder shares its executors with what earlier stages have left there.
-ENCODER_MEMORY = 192 << 20
+ENCODER_MEMORY = 96 << 20
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
