@@ -267,6 +267,11 @@ class Encoder:
         self.matches = regex.compile(pattern).findall
         self.known = Words(self.transducer, memory)
 
+    def close(self) -> None:
+        self.known.clear()
+        self.transducer.clear()
+        self.transducer.follows.clear()
+
     def rendered(self, text: str) -> Iterator[str]:
         """The ids of successive parts of the text, joined by spaces."""
         for piece in pieces(text):
@@ -378,19 +383,21 @@ def decoded_text(ids: Column, path: str | None = None) -> Column:
     return text(ids)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, memory: int = MEMORY) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, memory: int = MEMORY, lasting: bool = True) -> DataFrame:
     """One row per row: id, number of tokens, digests of the ids and of the decoded bytes, whether the text came back.
 
     A null text counts as empty: no tokens, digests of nothing.  Repeated rows
     give repeated results; other columns are ignored.  Texts are worked on in
     parts, so that a very long one needs little more than itself.  ``memory``
-    bounds what a worker remembers between them.
+    bounds what a worker remembers between them.  Unless ``lasting``, it is
+    given back when a task ends: an executor may keep more idle workers than it
+    has cores, each with its own.
     """
     small_batches(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path, pattern, memory)
+        encoder = encoder_of(path, pattern, memory) if lasting else Encoder(path, pattern, memory)
         token_bytes = {str(i): b for i, b in encoder.transducer.token_bytes.items()}
         for batch in batches:
             rows = []
@@ -414,6 +421,10 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
                 [batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "same_text"],
             )
+        if not lasting:
+            encoder.close()
+            del encoder
+            give_back()
 
     kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
     return docs.select(F.col(f"`{id_col}`"), whole_text(text_col).alias("text")).mapInArrow(digest, f"`{id_col}` {kind}, {DIGEST}")

@@ -82,6 +82,7 @@ def test_digests_and_columns(make_docs):
         ids = LIBRARY.encode_ordinary(text or "")
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         assert got[i] == (len(ids), sha(" ".join(map(str, ids))), sha(text or ""), True)
+    assert by_id(digests(make_docs(rows), lasting=False, memory=1 << 20), "n_tokens", "ids_sha256", "decoded_sha256", "same_text") == got
     assert digests(make_docs(rows)).count() == len(rows) and digests(make_docs(rows).where("false")).count() == 0
     docs = make_docs(rows)
     back = docs.select("doc_id", "text", decoded_text(token_ids(docs["text"])).alias("back")).collect()

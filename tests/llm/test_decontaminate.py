@@ -1,5 +1,7 @@
 import random
 
+from patronage.llm import registry
+from patronage.llm.common import table
 from patronage.llm.decontaminate import Matcher, Pattern, budget, drop_leaks, leaks, normal
 
 ITEM = "the quick brown fox jumps over the lazy dog while seven wizards mix a very odd potion in the old tower of the north"
@@ -62,6 +64,17 @@ def test_one_id_on_two_texts():
         assert distance <= 2 and start == 2
 
 
+def test_query_finds_every_whole_item_and_gives_true_distances(spark, sf_dir):
+    docs = {r.doc_id: normal(r.text or "") for r in table(spark, sf_dir, "documents").collect()}
+    items = {r.item_id: normal(r.text or "") for r in table(spark, sf_dir, "benchmark").collect()}
+    found = registry.QUERIES["op3_decontaminate"](spark, sf_dir).collect()
+    pairs = {(r.doc_id, r.item_id) for r in found}
+    assert len(pairs) == len(found) > 0
+    assert pairs >= {(d, i) for d, text in docs.items() for i, item in items.items() if item and item in text}
+    for r in found:
+        assert whole_distance(items[r.item_id], docs[r.doc_id][r.start : r.end]) == r.distance <= budget(len(items[r.item_id]))
+
+
 def test_leaks_and_blocks(spark, make_docs):
     items = [(1, ITEM), (2, "Short one."), (3, None), (4, ""), (None, "nothing"), (1, ITEM), (5, "entirely different words about rivers, mountains and glaciers")]
     bench = spark.createDataFrame(items, "item_id long, text string")
