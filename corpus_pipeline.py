@@ -19,7 +19,7 @@ from patronage.llm.toxicity import drop_toxic
 
 
 # The encoder shares its executors with what earlier stages have left there.
-ENCODER_MEMORY = 96 << 20
+ENCODER_MEMORY = 192 << 20
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
-    return digests(docs, memory=ENCODER_MEMORY)
+    return digests(docs, memory=ENCODER_MEMORY, lasting=False)
 
 
 STAGES = [
