@@ -125,3 +125,20 @@ def test_many_values_one_class_and_no_rows(spark):
     single = df.withColumn("label", F.lit(0.0))
     assert {r.prediction for r in B.BoostedTreesClassifier(rounds=2).fit(single).transform(single).collect()} == {0.0}
     assert B.BoostedTreesClassifier(rounds=2).fit(df.limit(0)).transform(df.limit(0)).collect() == []
+
+
+def test_a_node_is_one_row_of_a_task_however_many_bins(spark):
+    """Histograms are sent as arrays, not as a row of each bin, and rows are dealt out to several tasks."""
+    rows, labels, folds = sample(3000)
+    data = as_vectors(frame(spark, rows, labels, folds)).coalesce(1).cache()
+    edges = B.bin_edges(data, 3)
+    kinds = [len(e) + 1 for e in edges]
+    state = B.blocks(B.spread(data), edges, 3)
+    assert state.rdd.getNumPartitions() == 3
+    tree = [[B.Boosted().arrays() for _ in range(3)]]
+    shared = spark.sparkContext.broadcast(([], tree, [[np.array([0])] * 3], [-1]))
+    sent = B._histograms(state, shared, 3, kinds)
+    assert sent.count() == 3 * 3
+    found = B._splits(sent, kinds, 2).collect()
+    assert sorted((r.slot, r.node) for r in found) == [(0, 0), (1, 0), (2, 0)] and all(r.ah > 0 for r in found)
+    data.unpersist()
