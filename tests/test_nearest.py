@@ -87,3 +87,22 @@ def test_saved_alone_and_in_a_pipeline(spark, tmp_path):
     estimator = NearestNeighbors(k=7)
     estimator.write().overwrite().save(str(tmp_path / "estimator"))
     assert NearestNeighbors.load(str(tmp_path / "estimator")).getOrDefault("k") == 7
+
+
+def test_candidates_hold_all_nearest_and_are_few():
+    """Few pairs are measured exactly; equal and very near distances are all among them."""
+    from patronage.operators import nearest as N
+
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.random((500, 4)), np.repeat(rng.random((3, 4)), 20, axis=0), 1e-9 * rng.random((30, 4)) + 0.5])
+    queries, k = points[::3], 4
+    away = N._squared(queries, points)
+    kth = np.partition(away, k - 1, axis=1)[:, k - 1]
+    for most in (np.full(len(queries), np.inf), kth, kth / 2):
+        row, point = N._candidates(queries, points, most, k)
+        assert np.array_equal(N._squared_pairs(queries, points, row, point), away[row, point])
+        want = set(zip(*np.nonzero(away <= np.minimum(kth, most)[:, None])))
+        assert want <= set(zip(row, point)) and len(row) < away.size / 10
+    odd = np.concatenate([points[:20], [[np.inf, 0, 0, 0], [np.nan, 0, 0, 0]]])
+    with np.errstate(invalid="ignore"):
+        assert set(zip(*N._candidates(points[:5], odd, np.full(5, np.inf), 2))) >= {(i, i) for i in range(5)}
