@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches, table, whole_text, written
+from .common import small_batches, table, whole_text
 from .kernels import U, document_blocks, mix, text_buffers
 
 SAMPLE = 4096
@@ -39,7 +39,7 @@ GRAM = 5
 DISCOUNTS = ((1.0, 0.75), (2.0, 2.0), (2.0, 6.0), (4.0, 2.0))
 # Sightings granted to a class that has few, when the other class's rate is compared with it.
 DOUBT = 3.0
-FLUSH = 1 << 19
+FLUSH = 1 << 18
 
 
 def folding() -> np.ndarray:
@@ -260,6 +260,20 @@ def backoff_counts(docs: DataFrame, text: Column) -> DataFrame:
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def known_and_total(counts: DataFrame, known: DataFrame) -> tuple[dict[str, np.ndarray], float]:
+    """The rows (word, n0, n1, shared) of the known words, and the sum of all counts.
+
+    One pass over the counts, which are neither sorted nor stored: the words of
+    no class are added up to one row.
+    """
+    joined = counts.join(known.hint("shuffle_hash"), "word", "left")
+    is_known = F.col("n0").isNotNull()
+    each = joined.groupBy(is_known.cast("int").alias("known"), F.when(is_known, F.col("word")).otherwise(0).alias("word"))
+    found = collected(each.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("n0", "n1")], F.sum("shared").alias("shared")))
+    mine = found.pop("known") == 1
+    return {name: column[mine] for name, column in found.items()}, float(found["shared"].sum())
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -281,9 +295,9 @@ def fit(
         return df.groupBy(*keys).agg(*each)
 
     # Each collected frame is bounded by the texts of the sample.
-    counts = written(backoff_counts(docs, text).withColumnRenamed("n", "shared"), "backoff")
+    counts = backoff_counts(docs, text).withColumnRenamed("n", "shared")
     known = by_class(["word"], bigrams, n=F.col("n")).where("n0 + n1 >= 2")
-    as_word = collected(known.join(counts, "word"))
+    as_word, all_shared = known_and_total(counts, known)
     as_left = collected(by_class(["left"], bigrams, n=F.col("n")).where("n0 + n1 >= 2 or left = 0"))
     as_pair = collected(by_class(["left", "word"], bigrams, n=F.col("n")).where("n0 + n1 >= 2"))
     totals = collected(by_class([], bigrams, n=F.col("n")))
@@ -292,7 +306,6 @@ def fit(
     # Units are hashed here, so that scoring finds them by their high bits.
     for frame, names in ((as_word, ("word",)), (as_left, ("left",)), (as_pair, ("left", "word"))):
         frame.update({name: mix(frame[name].view(np.uint64)).view(np.int64) for name in names})
-    all_shared = float(collected(counts.agg(F.sum("shared").alias("n")).na.fill(0))["n"][0])
     backoff = (as_word["shared"] + 1) / (all_shared + 1)
     unseen = rows.where("calibrates").select("label", "text")
     sizes = collected(labels.where(~held_out(F.col(f"`{id_col}`"))).groupBy(F.col(f"`{label_col}`").cast("int").alias("label")).count().where("label in (0, 1)"))

@@ -88,3 +88,22 @@ def test_broadcast_needs_no_package(spark, monkeypatch):
 
     names = [str(arg) for _, arg, _ in pickletools.genops(pickle.dumps(sent[-1])) if arg is not None]
     assert sent and not any("patronage" in n for n in names)
+
+
+def test_counts_are_passed_once_and_not_stored(spark, make_docs, tmp_path, monkeypatch):
+    """Files that executors write fork processes, which count as memory of their own."""
+    import pytest
+
+    from patronage.llm import toxicity as T
+
+    monkeypatch.setattr("patronage.llm.common.shared_folder", lambda _: str(tmp_path))
+    rows, labels = labelled(120)
+    fit(make_docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert list(tmp_path.iterdir()) == []
+    counts = spark.createDataFrame([(0, 5), (-3, 7), (9, 2), (4, 1)], "word long, shared long")
+    known = spark.createDataFrame([(0, 1, 2), (9, 3, 0)], "word long, n0 long, n1 long")
+    found, total = T.known_and_total(counts, known)
+    assert sorted(zip(*(found[c].tolist() for c in ("word", "n0", "n1", "shared")))) == [(0, 1, 2, 5), (9, 3, 0, 2)]
+    assert total == pytest.approx(15)
+    found, total = T.known_and_total(counts.limit(0), known)
+    assert total == 0 and all(len(c) == 0 for c in found.values())
