@@ -20,8 +20,6 @@ bounded by bytes and begun anew when it is full, also in the midst of a match.
 from __future__ import annotations
 
 import base64
-import ctypes
-import gc
 import hashlib
 import sys
 import types
@@ -31,7 +29,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import small_batches, table, whole_text
+from .common import give_back, small_batches, table, whole_text
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Bytes, as estimated (it takes about six tenths of them), of all that a worker remembers; of these the shares
@@ -236,16 +234,6 @@ class Words(dict):
         return known
 
 
-def give_back() -> None:
-    """Return to the system what earlier tasks of this worker have freed."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # not every C library has it
-        pass
-
-
 def encoder_of(path: str, pattern: str, memory: int = MEMORY) -> Encoder:
     """An encoder that lasts as long as the worker process, whose tasks share what it has made."""
     held = sys.modules.setdefault("patronage_encoders", types.ModuleType("patronage_encoders"))
@@ -397,6 +385,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     path = path or public_tokenizers.path(VOCABULARY)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not lasting:
+            give_back()
         encoder = encoder_of(path, pattern, memory) if lasting else Encoder(path, pattern, memory)
         token_bytes = {str(i): b for i, b in encoder.transducer.token_bytes.items()}
         for batch in batches:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -69,3 +72,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def whole_text(column: str = "text"):
     """The text; null counts as empty."""
     return F.coalesce(F.col(f"`{column}`"), F.lit(""))
+
+
+def give_back() -> None:
+    """Return to the system what earlier tasks of this worker have freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass

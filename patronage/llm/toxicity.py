@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches, table, whole_text
+from .common import give_back, small_batches, table, whole_text
 from .kernels import U, document_blocks, mix, text_buffers
 
 SAMPLE = 4096
@@ -40,6 +40,9 @@ DISCOUNTS = ((1.0, 0.75), (2.0, 2.0), (2.0, 6.0), (4.0, 2.0))
 # Sightings granted to a class that has few, when the other class's rate is compared with it.
 DOUBT = 3.0
 FLUSH = 1 << 18
+# Bits of a bigram, and of a document's number within a block; together at most 64.  A unit is a bigram's low bits.
+PAIR_BITS, DOCUMENT_BITS = 8 * (GRAM + 1), 16
+WORD = U((1 << 8 * GRAM) - 1)
 
 
 def folding() -> np.ndarray:
@@ -60,7 +63,7 @@ def blocks_of_grams(column, fold):
     any of its words.
     """
     data, offs = text_buffers(column)
-    for i, j in document_blocks(offs, 1 << 18):
+    for i, j in block_ranges(offs):
         piece, first = fold[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i]
         kept = np.ones(len(piece), bool)
         kept[1:] = (piece[1:] != 32) | (piece[:-1] != 32)
@@ -69,17 +72,22 @@ def blocks_of_grams(column, fold):
         first = np.concatenate([[0], np.cumsum(kept)])[first]
         piece = piece[kept].astype(np.uint64)
         gram = piece.copy()
-        starts = first[:-1]
         for k in range(1, GRAM):
-            before = np.zeros(len(piece), np.uint64)
-            before[k:] = piece[:-k]
-            for edge in range(k):  # nothing stands before the start of a document
-                at = starts + edge
-                before[at[at < len(piece)]] = 0
-            gram |= before << U(8 * k)
+            gram[k:] |= piece[:-k] << U(8 * k)
+        starts = first[:-1]
+        for edge in range(GRAM - 1):  # nothing stands before the start of a document
+            at = starts + edge
+            gram[at[at < len(piece)]] &= U((1 << 8 * (edge + 1)) - 1)
         yield i, gram, first
 
 
+def block_ranges(offs):
+    """Ranges of documents of a block, whose numbers within it have DOCUMENT_BITS bits."""
+    for i, j in document_blocks(offs, 1 << 18):
+        for k in range(i, j, 1 << DOCUMENT_BITS):
+            yield k, min(j, k + (1 << DOCUMENT_BITS))
+
+
 def blocks_of_words(column, fold):
     """The same with units as hashes."""
     for i, gram, first in blocks_of_grams(column, fold):
@@ -99,31 +107,48 @@ def pair_key(left, word):
     return mix(left * U(0x9E3779B97F4A7C15) + word)
 
 
-def once_per_document(hashes, first):
-    """Positions of each document's different bigrams, so that repetition within it counts once."""
+def once_per_document(grams, first):
+    """(document, bigram) of each document's different bigrams, so that repetition within it counts once.
+
+    A bigram is one byte longer than a unit: a number without collisions, and
+    with the document's number above it one that sorts fast.
+    """
     doc = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
-    return np.unique(pair_key(left_words(hashes, first), hashes) + doc * U(0xA0761D6478BD642F), return_index=True)[1]
+    key = np.sort(doc << U(PAIR_BITS) | left_words(grams, first) << U(8) | grams & U(255))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    return (key >> U(PAIR_BITS)).astype(np.int64), key & U((1 << PAIR_BITS) - 1)
 
 
 class Lookup:
-    """Positions of the keys by open buckets; other keys give -1."""
+    """Positions of the keys by buckets of their high bits, which must be spread; other keys give -1."""
 
     def __init__(self, keys):
-        self.keys = np.sort(keys)
         self.order = np.argsort(keys, kind="stable")
-        bits = max(12, int(len(keys)).bit_length() + 3)
+        self.keys = keys[self.order]
+        bits = max(12, int(len(keys)).bit_length() + 1)
         self.shift = U(64 - bits)
-        self.present = np.zeros(1 << bits, bool)
-        self.present[keys >> self.shift] = True
+        ends = np.cumsum(np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << bits))
+        self.first = np.concatenate([[0], ends]).astype(np.int32)
+
+    def sorted_place(self, x):
+        """Positions among the sorted keys."""
+        out = np.full(len(x), -1, np.int32)
+        bucket = (x >> self.shift).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        rows = np.flatnonzero(at < end)
+        at, end, x = at[rows], end[rows], x[rows]
+        while len(rows):
+            hit = self.keys[at] == x
+            out[rows[hit]] = at[hit]
+            more = np.flatnonzero(~hit & (at + 1 < end))
+            rows, at, end, x = rows[more], at[more] + 1, end[more], x[more]
+        return out
 
     def __call__(self, x):
-        out = np.full(len(x), -1, np.int64)
-        maybe = np.flatnonzero(self.present[x >> self.shift])
-        if len(maybe) and len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, x[maybe]), len(self.keys) - 1)
-            hit = self.keys[at] == x[maybe]
-            out[maybe[hit]] = self.order[at[hit]]
-        return out
+        place = self.sorted_place(x)
+        return np.where(place >= 0, np.append(self.order, -1)[place], -1)
 
 
 @dataclass
@@ -144,21 +169,21 @@ class Model:
         """A function of an Arrow text column giving the mean log ratio per word."""
         fold, word_at, pair_at = folding(), Lookup(self.words), Lookup(self.pairs)
         ratio = lambda x: x[1] - x[0]
-        word = np.append(ratio(self.word_log), ratio(self.other_log))
-        history = np.append(ratio(self.history_log), 0.0)
-        pair, start = ratio(self.pair_log), ratio(self.start_log)
+        word = np.append(ratio(self.word_log)[word_at.order], ratio(self.other_log))
+        history = np.append(ratio(self.history_log)[word_at.order], 0.0)
+        pair, start = ratio(self.pair_log)[pair_at.order], ratio(self.start_log)
 
         def of(column):
             out = np.zeros(len(column))
             for i, hashes, first in blocks_of_words(column, fold):
-                at = word_at(hashes)
-                before = np.full(len(at), -1, np.int64)
+                at = word_at.sorted_place(hashes)
+                before = np.full(len(at), -1, np.int32)
                 before[1:] = at[:-1]
                 gain = word[at] + history[before]
                 begins = first[:-1]
                 begins = begins[first[1:] > begins]
                 gain[begins] = word[at[begins]] + start
-                known = pair_at(pair_key(left_words(hashes, first), hashes))
+                known = pair_at.sorted_place(pair_key(left_words(hashes, first), hashes))
                 seen = np.flatnonzero(known >= 0)
                 gain[seen] = pair[known[seen]]
                 summed = np.concatenate([[0.0], np.cumsum(gain)])
@@ -191,28 +216,24 @@ def class_bigrams(rows: DataFrame) -> DataFrame:
         fold, kept, size = folding(), [], 0
 
         def combined():
-            label, left, word = (np.concatenate(x) for x in zip(*kept))
-            order = np.lexsort((word, left, label))
-            label, left, word = label[order], left[order], word[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (label[1:] != label[:-1]) | (left[1:] != left[:-1]) | (word[1:] != word[:-1])
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(order)))
-            columns = [label[at].astype(np.int32), left[at].view(np.int64), word[at].view(np.int64), n.astype(np.int64)]
+            key, n = np.unique(np.concatenate(kept), return_counts=True)
+            pair = key & U((1 << PAIR_BITS) - 1)
+            columns = [(key >> U(PAIR_BITS)).astype(np.int32), (pair >> U(8)).view(np.int64), (pair & WORD).view(np.int64), n.astype(np.int64)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["label", "left", "word", "n"])
 
         for batch in batches:
             labels = batch.column(0).to_numpy(zero_copy_only=False)
             for i, grams, first in blocks_of_grams(batch.column(1), fold):
-                left, once = left_words(grams, first), once_per_document(grams, first)
-                label = np.repeat(labels[i : i + len(first) - 1], np.diff(first))
-                kept.append((label[once], left[once], grams[once]))
-                size += len(once)
+                doc, pair = once_per_document(grams, first)
+                kept.append(labels[i + doc].astype(np.uint64) << U(PAIR_BITS) | pair)
+                size += len(pair)
                 if size >= FLUSH:
                     yield combined()
                     kept, size = [], 0
         if size:
             yield combined()
+        del kept
+        give_back()
 
     found = rows.mapInArrow(count, "label int, left long, word long, n long")
     return found.groupBy("label", "left", "word").agg(F.sum("n").alias("n"))
@@ -236,17 +257,18 @@ def backoff_counts(docs: DataFrame, text: Column) -> DataFrame:
 
         def merged():
             fresh, n = np.unique(np.concatenate([words[:0], *new]), return_counts=True)
-            every, at = np.unique(np.concatenate([words, fresh]), return_inverse=True)
-            summed = np.zeros(len(every), np.int64)
-            np.add.at(summed, at, np.concatenate([counts, n]))
-            return every, summed
+            at = np.searchsorted(words, fresh)
+            known = np.append(words, U(0))[at] == fresh
+            known &= at < len(words)
+            counts[at[known]] += n[known]
+            return np.insert(words, at[~known], fresh[~known]), np.insert(counts, at[~known], n[~known])
 
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
 
         for batch in batches:
             for _, grams, first in blocks_of_grams(batch.column(0), fold):
-                new.append(grams[once_per_document(grams, first)])
+                new.append(once_per_document(grams, first)[1] & WORD)
                 size += len(new[-1])
                 if size >= FLUSH:
                     (words, counts), new, size = merged(), [], 0
@@ -255,6 +277,8 @@ def backoff_counts(docs: DataFrame, text: Column) -> DataFrame:
                         words, counts = words[:0], counts[:0]
         words, counts = merged()
         yield rows()
+        del words, counts, new
+        give_back()
 
     found = docs.select(text.alias("text")).mapInArrow(count, "word long, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
@@ -396,6 +420,8 @@ def evidence_of(model: Model, spark):
         of = Model(*shared.value).evidence()
         for column in columns:
             yield pa.array(of(column))
+        del of
+        give_back()
 
     return evidence
 

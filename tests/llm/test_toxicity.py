@@ -107,3 +107,39 @@ def test_counts_are_passed_once_and_not_stored(spark, make_docs, tmp_path, monke
     assert total == pytest.approx(15)
     found, total = T.known_and_total(counts.limit(0), known)
     assert total == 0 and all(len(c) == 0 for c in found.values())
+
+
+def test_lookup_needs_no_search(monkeypatch):
+    """Binary searches among the keys took most of the time of scoring."""
+    import numpy as np
+
+    from patronage.llm import toxicity as T
+
+    rng = np.random.default_rng(1)
+    keys = T.mix(rng.permutation(5000).astype(np.uint64))
+    keys = np.concatenate([keys, keys[:50], keys[:1] + np.arange(1, 40, dtype=np.uint64)])
+    asked = np.concatenate([keys, T.mix(np.arange(5000, 9000, dtype=np.uint64)), np.array([0, 2**64 - 1], np.uint64)])
+    first = {int(k): i for i, k in reversed(list(enumerate(keys)))}
+    want = [first.get(int(k), -1) for k in asked]
+    monkeypatch.setattr(np, "searchsorted", None)
+    assert T.Lookup(keys)(asked).tolist() == want
+    assert T.Lookup(keys[:0])(asked).tolist() == [-1] * len(asked)
+
+
+def test_bigrams_of_documents_without_text_or_many(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from patronage.llm import toxicity as T
+
+    monkeypatch.setattr(T, "DOCUMENT_BITS", 2)
+    texts = ["", "a", "abc", "abcdefgh", "abababab", None, "x  y", "abc"] * 3
+    got = Counter()
+    for i, grams, first in T.blocks_of_grams(pa.array(texts), T.folding()):
+        doc, pair = T.once_per_document(grams, first)
+        got.update(zip((i + doc).tolist(), pair.tolist()))
+    want = set()
+    for i, text in enumerate(texts):
+        padded = bytes(GRAM + 1) + (text or "").replace("  ", " ").encode()
+        want |= {(i, int.from_bytes(padded[k + 1 - GRAM - 1 : k + 1], "big")) for k in range(GRAM + 1, len(padded))}
+    assert set(got) == want and max(got.values()) == 1
