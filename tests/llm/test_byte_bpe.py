@@ -87,3 +87,12 @@ def test_digests_and_columns(make_docs):
     docs = make_docs(rows)
     back = docs.select("doc_id", "text", decoded_text(token_ids(docs["text"])).alias("back")).collect()
     assert all(r.back == (r.text or "") for r in back)
+
+
+def test_the_pipeline_leaves_room_beside_what_other_stages_hold():
+    """Two workers' tables, at 192 MB each, took an executor over its limit."""
+    import corpus_pipeline
+
+    assert corpus_pipeline.ENCODER_MEMORY <= 96 << 20
+    words = byte_bpe.Words(Transducer(RANKS, corpus_pipeline.ENCODER_MEMORY), corpus_pipeline.ENCODER_MEMORY)
+    assert words.transducer.most + words.transducer.most_pairs + words.most <= 96 << 20
