@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 import pyarrow as pa
@@ -167,31 +167,43 @@ class Model:
 
     def evidence(self):
         """A function of an Arrow text column giving the mean log ratio per word."""
-        fold, word_at, pair_at = folding(), Lookup(self.words), Lookup(self.pairs)
-        ratio = lambda x: x[1] - x[0]
-        word = np.append(ratio(self.word_log)[word_at.order], ratio(self.other_log))
-        history = np.append(ratio(self.history_log)[word_at.order], 0.0)
-        pair, start = ratio(self.pair_log)[pair_at.order], ratio(self.start_log)
-
-        def of(column):
-            out = np.zeros(len(column))
-            for i, hashes, first in blocks_of_words(column, fold):
-                at = word_at.sorted_place(hashes)
-                before = np.full(len(at), -1, np.int32)
-                before[1:] = at[:-1]
+        of = evidences([self])
+        return lambda column: of(column)[0]
+
+
+def evidences(models: list[Model]):
+    """A function of an Arrow text column giving each model's mean log ratio per word.
+
+    The models have the same words and pairs, which are looked up once for all.
+    """
+    fold, word_at, pair_at = folding(), Lookup(models[0].words), Lookup(models[0].pairs)
+    ratio = lambda x: x[1] - x[0]
+    ratios = []
+    for m in models:
+        word = np.append(ratio(m.word_log)[word_at.order], ratio(m.other_log))
+        history = np.append(ratio(m.history_log)[word_at.order], 0.0)
+        ratios.append((word, history, ratio(m.pair_log)[pair_at.order], ratio(m.start_log)))
+
+    def of(column):
+        out = np.zeros((len(ratios), len(column)))
+        for i, hashes, first in blocks_of_words(column, fold):
+            at = word_at.sorted_place(hashes)
+            before = np.full(len(at), -1, np.int32)
+            before[1:] = at[:-1]
+            begins = first[:-1]
+            begins = begins[first[1:] > begins]
+            known = pair_at.sorted_place(pair_key(left_words(hashes, first), hashes))
+            seen = np.flatnonzero(known >= 0)
+            n = np.diff(first)
+            for row, (word, history, pair, start) in zip(out, ratios):
                 gain = word[at] + history[before]
-                begins = first[:-1]
-                begins = begins[first[1:] > begins]
                 gain[begins] = word[at[begins]] + start
-                known = pair_at.sorted_place(pair_key(left_words(hashes, first), hashes))
-                seen = np.flatnonzero(known >= 0)
                 gain[seen] = pair[known[seen]]
                 summed = np.concatenate([[0.0], np.cumsum(gain)])
-                n = np.diff(first)
-                out[i : i + len(n)] = (summed[first[1:]] - summed[first[:-1]]) / np.maximum(n, 1)
-            return out
+                row[i : i + len(n)] = (summed[first[1:]] - summed[first[:-1]]) / np.maximum(n, 1)
+        return out
 
-        return of
+    return of
 
 
 def held_out(id_col: Column) -> Column:
@@ -335,9 +347,9 @@ def fit(
     sizes = collected(labels.where(~held_out(F.col(f"`{id_col}`"))).groupBy(F.col(f"`{label_col}`").cast("int").alias("label")).count().where("label in (0, 1)"))
     sizes = dict(zip(sizes["label"].tolist(), sizes["count"].tolist()))
     models = [tables(r, d, as_word, as_left, as_pair, totals, backoff) for r, d in DISCOUNTS]
-    evidence = [evidence_of(m, docs.sparkSession)(F.col("text")).alias(f"x{i}") for i, m in enumerate(models)]
-    tried = collected(unseen.select("label", *evidence))
-    fits = [logistic(tried[f"x{i}"], tried["label"], sizes) for i in range(len(models))]
+    tried = collected(unseen.select("label", evidences_of(models, docs.sparkSession)(F.col("text")).alias("x")))
+    x = np.array(tried["x"].tolist()).reshape(-1, len(models)).T
+    fits = [logistic(x[i], tried["label"], sizes) for i in range(len(models))]
     best = min(range(len(models)), key=lambda i: fits[i][2])
     models[best].slope, models[best].shift, _ = fits[best]
     return models[best]
@@ -426,6 +438,28 @@ def evidence_of(model: Model, spark):
     return evidence
 
 
+def evidences_of(models: list[Model], spark):
+    """The evidence of models with the same words and pairs, as a column function that gives an array.
+
+    One function for all: with one for each, a task would hold as many Python
+    workers at once, and an executor keeps them all while it has tasks.
+    """
+    words, pairs = models[0].words, models[0].pairs
+    shared = spark.sparkContext.broadcast([astuple_shallow(replace(m, words=words, pairs=pairs)) for m in models])
+
+    @F.arrow_udf("array<double>")
+    def evidence(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = evidences([Model(*x) for x in shared.value])
+        for column in columns:
+            found = of(column)
+            ends = np.arange(len(column) + 1, dtype=np.int32) * len(found)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(found.T.ravel()))
+        del of
+        give_back()
+
+    return evidence
+
+
 def toxicity(model: Model, spark, text: Column) -> Column:
     """Score from 0 to 1 of a text column; null and empty texts get the score of no evidence."""
     evidence = evidence_of(model, spark)(text)

@@ -143,3 +143,36 @@ def test_bigrams_of_documents_without_text_or_many(monkeypatch):
         padded = bytes(GRAM + 1) + (text or "").replace("  ", " ").encode()
         want |= {(i, int.from_bytes(padded[k + 1 - GRAM - 1 : k + 1], "big")) for k in range(GRAM + 1, len(padded))}
     assert set(got) == want and max(got.values()) == 1
+
+
+def test_candidate_models_share_one_worker(spark, make_docs, monkeypatch):
+    """With a function for each, a task holds a Python worker for each, and executors keep them through later stages."""
+    from patronage.llm import toxicity as T
+
+    plans, whole = [], T.collected
+    monkeypatch.setattr(T, "collected", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or whole(df))
+    rows, labels = labelled(120)
+    fit(make_docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    # An adaptive plan is printed once or, when it has run, as final and initial plan.
+    assert max(p.split("Initial Plan")[0].count("ArrowEvalPython") for p in plans) == 1
+
+
+def test_evidence_of_several_models_is_that_of_each(spark, make_docs):
+    import numpy as np
+
+    from patronage.llm import toxicity as T
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("ab c"), rng.integers(0, 50))) for _ in range(60)] + ["", None]
+    grams = np.concatenate([g for _, g, _ in T.blocks_of_words(T.pa.array(texts), T.folding())])
+    words = np.unique(grams)[::2]
+    pairs = np.unique(T.pair_key(grams[:-1], grams[1:]))[::3]
+    draw = lambda *n: -rng.random((2, *n))
+    models = [T.Model(words, draw(len(words)), draw(), draw(len(words)), draw(), pairs, draw(len(pairs))) for _ in range(3)]
+    docs = make_docs(list(enumerate(texts)), 3)
+    got = by_id(docs.select("doc_id", T.evidences_of(models, spark)(F.col("text")).alias("x")), "x")
+    each = [by_id(docs.select("doc_id", T.evidence_of(m, spark)(F.col("text")).alias("x")), "x") for m in models]
+    value = lambda v: v[0] if isinstance(v, tuple) else v
+    assert len({tuple(value(x)) for x in got.values()}) > 30
+    for i in got:
+        assert list(value(got[i])) == [value(e[i]) for e in each]
