@@ -93,3 +93,42 @@ def test_a_grid_over_all_folds_is_one_descent(spark, family, grid):
     assert len(scores) == len(grid) and min(scores) > 0.4
     assert seen == [2 * 3 * 3 if family == "svc" else 3 + 1]
     data.unpersist()
+
+
+def test_networks_descend_in_single_precision_and_end_in_doubles(spark, monkeypatch):
+    """Steps are computed in single precision; only doubles end a descent before its last step."""
+    rows, labels, folds = sample(400, 3)
+    labels = np.minimum(labels, 2)
+    labels[::7] = 0  # the loss has a minimum well above zero
+    data = frame(spark, rows, labels, folds).cache()
+    seen = []
+    real = perceptron.summed
+    monkeypatch.setattr(perceptron, "summed", lambda b, f, shared, n: (seen.append([w.dtype for *_, w in shared.value]) if f is perceptron.entropy else None, real(b, f, shared, n))[1])
+    few = perceptron.train(data, [perceptron.Network((3, 2, 3), 0, 3)])[0]
+    assert {k for kinds in seen for k in kinds} == {np.dtype("f4")} and few[0].dtype == np.float64
+    seen.clear()
+    (weights,), _ = perceptron.train(data, [perceptron.Network((3, 2, 3), 0, 400)])
+    assert seen[0] == [np.dtype("f4")] and seen[-1] == [np.dtype("f8")]
+    loss, *slope = perceptron.entropy(rows, labels, folds, [((3, 2, 3), 0, weights)])
+    assert np.linalg.norm(slope) < 1e-3 * loss
+    data.unpersist()
+
+
+def test_a_network_in_single_precision_has_the_slope_of_doubles():
+    """Folds are slices, chunks are added up, large odds do not overflow."""
+    rows, labels, folds = sample(3000, 4)
+    labels = np.minimum(labels, 2)
+    weights = np.random.default_rng(5).normal(size=4 * 6 + 7 * 5 + 6 * 3)
+    layers, other = (3, 6, 5, 3), (3, 4, 3)
+    asked = [(layers, 1, weights), (other, -1, weights[: 4 * 4 + 5 * 3]), (layers, 2, 300 * weights)]
+    want = perceptron.entropy(rows, labels, folds, asked)
+    got = perceptron.entropy(rows, labels, folds, [(own, out, w.astype("f4")) for own, out, w in asked])
+    assert got.dtype == np.float64 and np.isfinite(got).all() and not np.array_equal(got, want)
+    place = 0
+    for own, out, w in asked[:2]:
+        mine, size = folds != out, len(w) + 1
+        alone = sum(perceptron.entropy(rows[i : i + 1], labels[i : i + 1], folds[i : i + 1], [(own, -1, w)]) for i in np.flatnonzero(mine))
+        assert np.allclose(want[place : place + size], alone, rtol=1e-9, atol=1e-9)
+        assert np.abs(got[place : place + size] - alone).max() < 1e-5 * np.abs(alone).max()
+        place += size
+    assert got[place] == pytest.approx(want[place], rel=1e-3)
