@@ -142,3 +142,29 @@ def test_a_node_is_one_row_of_a_task_however_many_bins(spark):
     found = B._splits(sent, kinds, 2).collect()
     assert sorted((r.slot, r.node) for r in found) == [(0, 0), (1, 0), (2, 0)] and all(r.ah > 0 for r in found)
     data.unpersist()
+
+
+def test_features_of_few_bins_share_columns_and_blocks_hold_one_fold(spark):
+    """A row costs a column of several features one histogram, and an ensemble skips the blocks of the fold that it leaves out."""
+    rng = np.random.default_rng(7)
+    n, kinds = 700, [1, 40, 2, 2, 3, 70, 4]
+    bins = np.column_stack([rng.integers(0, k, size=n) for k in kinds])
+    columns = B.columns_of(kinds)
+    assert sorted(j for column in columns for j, _ in column) == list(range(7)) and len(columns) == 3
+    cells = np.array([sum(bins[:, j] * stride for j, stride in column) for column in columns])
+    assert all(own.max() < size <= max(B.SHARED_CELLS, 70) for own, size in zip(cells, B._sizes(columns, kinds)))
+    tree = B.Boosted()
+    for node, j, at in ((0, 1, 20), (1, 4, 1), (2, 5, 33), (4, 2, 0), (5, 6, 2)):
+        tree.split(node, j, at, (0.5, -0.25))
+    assert np.array_equal(B._ends(cells, B._paths(tree.arrays(), columns, kinds)), B._leaves(bins, *tree.arrays()))
+    labels, folds = rng.integers(0, 3, size=n), rng.integers(0, 4, size=n)
+    data = as_vectors(frame(spark, bins.astype(float), labels, folds)).repartition(2)
+    edges = [np.arange(k - 1) + 0.5 for k in kinds]
+    held = B.blocks(data, edges, 3, 50).collect()
+    assert {r.fold for r in held} == {0, 1, 2, 3} and sum(r.n for r in held) == n and max(r.n for r in held) == 50
+    for r in held:
+        assert len(r.bins) == 2 * 3 * r.n and len(r.label) == 4 * r.n and len(r.margins) == 4 * 3 * r.n
+    back = np.concatenate([np.frombuffer(r.bins, "<u2").reshape(3, -1) for r in held], axis=1)
+    whole = np.column_stack([back.T, np.concatenate([np.frombuffer(r.label, "<i4") for r in held]), np.repeat([r.fold for r in held], [r.n for r in held])])
+    want = np.column_stack([cells.T, labels, folds])
+    assert sorted(map(tuple, whole.tolist())) == sorted(map(tuple, want.tolist()))
