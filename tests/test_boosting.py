@@ -168,3 +168,22 @@ def test_features_of_few_bins_share_columns_and_blocks_hold_one_fold(spark):
     whole = np.column_stack([back.T, np.concatenate([np.frombuffer(r.label, "<i4") for r in held]), np.repeat([r.fold for r in held], [r.n for r in held])])
     want = np.column_stack([cells.T, labels, folds])
     assert sorted(map(tuple, whole.tolist())) == sorted(map(tuple, want.tolist()))
+
+
+def test_of_two_children_one_is_counted(spark, monkeypatch):
+    """The other's histogram is what its sibling's lacks of their parent's; trees are the same as if both were counted."""
+    rows, labels, folds = sample(400, 9)
+    data = as_vectors(frame(spark, rows, labels, folds)).cache()
+    seen = []
+    real = B._histograms
+    monkeypatch.setattr(B, "_histograms", lambda state, shared, *rest: (seen.append([len(n) for by_class in shared.value[2] for n in by_class]), real(state, shared, *rest))[1])
+    one = [B.Ensemble(0.3, 3, 0), B.Ensemble(0.3, 2, -1)]
+    B.train(data, one, 2, 3, 3)
+    halved = [sum(x) for x in seen]
+    assert halved[0] == 6 and 0 < halved[1] <= 6 and 0 < halved[2] <= 6
+    seen.clear()
+    monkeypatch.setattr(B, "KEPT_BYTES", 0)
+    two = [B.Ensemble(0.3, 3, 0), B.Ensemble(0.3, 2, -1)]
+    B.train(data, two, 2, 3, 3)
+    assert [e.rounds for e in two] == [e.rounds for e in one] and sum(map(sum, seen)) > sum(halved)
+    data.unpersist()
